@@ -27,7 +27,7 @@ SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
 BITS = 16
 TRAIN_ROWS = 3000
-THRESHOLD = 0.5
+THRESHOLD = 0.4
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 POWERS = [np.uint64(pow(0xD6E8FEB86659FD93, k, 1 << 64)) for k in range(WINDOW)]
 
@@ -128,7 +128,7 @@ def _features(batches):
         )
 
 
-def fit(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, rounds: int = 150, l2: float = 1e-6) -> Model:
+def fit(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, rounds: int = 100, l2: float = 1e-6) -> Model:
     """Full-batch logistic regression (Adam), then Platt calibration on each fifth row."""
     size = 2 << BITS
     held = np.arange(len(y)) % 5 == 4
@@ -154,17 +154,21 @@ def fit(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, rounds: int = 150
     return Model(w[: 1 << BITS], w[1 << BITS :], bias, slope, shift)
 
 
-def platt(z: np.ndarray, y: np.ndarray, rounds: int = 30) -> tuple[float, float]:
-    """Slope and shift that fit the probabilities to the labels, with a prior that keeps them finite."""
+def platt(z: np.ndarray, y: np.ndarray, rounds: int = 100) -> tuple[float, float]:
+    """Slope and shift that fit the probabilities to the labels: damped Newton steps on smoothed targets."""
     t = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
+    loss = lambda a, b: float((np.logaddexp(0, a * z + b) - t * (a * z + b)).sum() + 0.5 * (a - 1) ** 2)
     a, b = 1.0, 0.0
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(a * z + b, -40, 40)))
-        d = np.maximum(p * (1 - p), 1e-6)
-        ga, gb = ((p - t) * z).sum() + 1e-3 * (a - 1), (p - t).sum()
-        haa, hab, hbb = (d * z * z).sum() + 1e-3, (d * z).sum(), d.sum() + 1e-6
+        d = p * (1 - p)
+        ga, gb = ((p - t) * z).sum() + (a - 1), (p - t).sum()
+        haa, hab, hbb = (d * z * z).sum() + 1, (d * z).sum(), d.sum() + 1e-9
         det = haa * hbb - hab * hab
-        a, b = a - (hbb * ga - hab * gb) / det, b - (haa * gb - hab * ga) / det
+        da, db, step = (hbb * ga - hab * gb) / det, (haa * gb - hab * ga) / det, 1.0
+        while step > 1e-6 and loss(a - step * da, b - step * db) > loss(a, b):
+            step /= 2
+        a, b = a - step * da, b - step * db
     return (a, b) if np.isfinite(a + b) and a > 0 else (1.0, 0.0)
 
 
