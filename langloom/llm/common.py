@@ -81,15 +81,16 @@ def map_texts(
     made = [f.name for f in fields]
     lower = {m.lower() for m in made}
     keep = [c for c in keep if c.lower() not in lower]
-    sent = docs.select(*[F.col(quoted(c)) for c in keep], F.col(quoted(text_col)).cast("string").alias("__text"))
+    own = text_col in keep and docs.schema[text_col].dataType == T.StringType()  # else the text is sent beside them
+    sent = docs.select(*[F.col(quoted(c)) for c in keep], *[F.col(quoted(text_col)).cast("string").alias("__text")] * (not own))
+    n, at = len(keep), keep.index(text_col) if own else len(keep)
     schema = T.StructType([docs.schema[c] for c in keep] + list(fields))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = None
         for batch in batches:
             work = work or start()
-            n = batch.num_columns - 1
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(n)] + list(work(batch.column(n))), names=keep + made)
+            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(n)] + list(work(batch.column(at))), names=keep + made)
 
     return sent.mapInArrow(run, schema)
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from langloom.llm import bpe, decontam, rules, simhash
+from langloom.llm import bpe, decontam, rules, secrets, simhash
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1,
+    "op3_secret_scan": secrets.op3,
     "op8_simhash": simhash.op8,
     "op9_decontamination": decontam.op9,
     "op10_quality_rules": rules.op10,
