@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from langloom.llm import bpe, decontam, rules, secrets, simhash
+from langloom.llm import bpe, decontam, hilbert, langid, quality_net, rules, secrets, simhash
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1,
     "op3_secret_scan": secrets.op3,
+    "op4_quality_network": quality_net.op4,
+    "op5_hilbert_shards": hilbert.op5,
+    "op6_language_id": langid.op6,
     "op8_simhash": simhash.op8,
     "op9_decontamination": decontam.op9,
     "op10_quality_rules": rules.op10,
