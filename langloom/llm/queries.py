@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from langloom.llm import bpe, decontam, hilbert, langid, quality_net, rules, secrets, simhash
+from langloom.llm import bpe, decontam, hilbert, langid, quality_net, rules, secrets, simhash, substring
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_quality_network": quality_net.op4,
     "op5_hilbert_shards": hilbert.op5,
     "op6_language_id": langid.op6,
+    "op7_substring_dedup": substring.op7,
     "op8_simhash": simhash.op8,
     "op9_decontamination": decontam.op9,
     "op10_quality_rules": rules.op10,
