@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from langloom.llm import bpe, decontam, hilbert, langid, quality_net, rules, secrets, simhash, substring
+from langloom.llm import bpe, decontam, hilbert, langid, licenses, quality_net, rules, secrets, simhash, substring
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1,
+    "op2_license_scan": licenses.op2,
     "op3_secret_scan": secrets.op3,
     "op4_quality_network": quality_net.op4,
     "op5_hilbert_shards": hilbert.op5,
