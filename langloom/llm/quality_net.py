@@ -52,8 +52,7 @@ def accumulate(texts: list[bytes], into: np.ndarray, place: np.ndarray, sign: np
         both = np.flatnonzero(owner[reach:] == owner[:-reach])
         left, right = token[both], token[both + reach]
         for a, b in ((left, right), (right, left)):
-            for k in range(NONZERO):
-                into += np.bincount(a * DIM + place[b, k], sign[b, k], WORDS * DIM)
+            into += np.bincount((a[:, None] * DIM + place[b]).ravel(), sign[b].ravel(), WORDS * DIM)
 
 
 def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
@@ -64,7 +63,7 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         place, sign = index_vectors()
         for batch in batches:
             texts = as_bytes(batch.column(0))
-            for i, j in chunks(texts, 1 << 22):
+            for i, j in chunks(texts):
                 accumulate(texts[i:j], total, place, sign)
         part = TaskContext.get().partitionId() % SPREAD
         blocks = total.astype(np.float32).reshape(BLOCKS, -1)
