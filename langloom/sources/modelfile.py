@@ -156,18 +156,20 @@ def _unpack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for lang_index, blob in zip(frame["lang_index"], frame["blob"], strict=True):
             head, sections = parse_one(bytes(blob))
             for s, data in sections.items():
+                sub: int | np.ndarray = 0
                 if s in K.NGRAM_SECTIONS or s == K.TOKEN_IDF:
                     r = np.frombuffer(data, IDF_RECORD if s == K.TOKEN_IDF else RECORD)
-                    key, sub, q = r["key"], 0, r["q"]
+                    key, q = r["key"], r["q"]
                 elif s in HISTS:
                     q = np.frombuffer(data, "<u2")
-                    key, sub = np.arange(len(q)), 0
+                    key = np.arange(len(q))
                 else:
                     q = np.frombuffer(data, "<i2" if s == K.CHAR_POSITION else "<u2")
                     width = 3 if s == K.CHAR_POSITION else K.CLASSES
                     key, sub = np.arange(len(q)) // width, np.arange(len(q)) % width
-                yield pd.DataFrame({"lang_index": lang_index, "lang": head["lang"], "section": s, "key": np.asarray(key, np.int64), "sub": np.asarray(sub, np.int32), "q": np.asarray(q, np.int32)})
-            yield pd.DataFrame([{"lang_index": lang_index, "lang": head["lang"], "section": -1, "head": [float(x) for k, x in head.items() if k != "lang"]}])
+                yield pd.DataFrame({"lang_index": lang_index, "lang": head["lang"], "section": s, "key": np.asarray(key, np.int64), "sub": sub, "q": np.asarray(q, np.int32), "head": None}, index=range(len(q)))
+            scalars = [float(x) for k, x in head.items() if k != "lang"]
+            yield pd.DataFrame([{"lang_index": lang_index, "lang": head["lang"], "section": -1, "key": 0, "sub": 0, "q": 0, "head": scalars}])
 
 
 def decode(blobs: DataFrame) -> Model:
