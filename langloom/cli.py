@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from langloom import constants as K
 from langloom.plans.jobs import run_benchmark, train_corpus
+from langloom.session import tune
 from langloom.shipping import ship
 from langloom.sources.registry import resolve
 from langloom.sources.text import read_corpus
@@ -30,7 +31,7 @@ def parser() -> argparse.ArgumentParser:
 
 def main(args: list[str] | None = None) -> None:
     o = parser().parse_args(args)
-    spark = ship(SparkSession.builder.appName("langloom").getOrCreate())
+    spark = ship(tune(SparkSession.builder.appName("langloom").getOrCreate()))
     if o.benchmark:
         got = run_benchmark(spark, o.benchmark, o.model, o.out_dir)
         got["misses"].show(truncate=False)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from langloom import constants as K
 from langloom.functions import chars, hashing
 from langloom.operators import features as X
+from langloom.session import spread
 
 
 def _entry(section: int, key: Column, sub: Column | int = 0) -> Column:
@@ -38,33 +39,50 @@ def char_counts(texts: DataFrame) -> DataFrame:
     """Sections of characters, n-grams and class pairs."""
     windows = X.char_windows(texts, ["lang"], K.TRAIN_CHARS, True).groupBy("lang", "c1", "c2", "c3", "o1", "o2").agg(F.count("*").alias("n"))
     a, b, c = (F.ascii(x) for x in ("c1", "c2", "c3"))
-    return _sum(
-        windows,
-        F.array(
-            F.when(F.col("c1").isNotNull(), _entry(K.CHAR_UNIGRAM, a)),
-            F.when(F.col("c2").isNotNull(), _entry(K.CHAR_BIGRAM, hashing.hash_code_points(a, b))),
-            F.when(F.col("c3").isNotNull(), _entry(K.CHAR_TRIGRAM, hashing.hash_code_points(a, b, c))),
-            F.when(F.col("o2").isNotNull(), _entry(K.CLASS_PAIR, chars.class_of(F.col("o1")), chars.class_of(F.col("o2")))),
-        ),
+    keyed = windows.select(  # as columns, where common parts are computed once; generators evaluate theirs one by one
+        "lang",
+        "n",
+        a.alias("u"),
+        F.when(F.col("c2").isNotNull(), hashing.hash_code_points(a, b)).alias("h2"),
+        F.when(F.col("c3").isNotNull(), hashing.hash_code_points(a, b, c)).alias("h3"),
+        F.when(F.col("o2").isNotNull(), chars.class_of(F.col("o1"))).alias("ka"),
+        F.when(F.col("o2").isNotNull(), chars.class_of(F.col("o2"))).alias("kb"),
     )
+    found = [(K.CHAR_UNIGRAM, "u", 0), (K.CHAR_BIGRAM, "h2", 0), (K.CHAR_TRIGRAM, "h3", 0), (K.CLASS_PAIR, "ka", F.col("kb"))]
+    return _sum(keyed, F.array(*[F.when(F.col(k).isNotNull(), _entry(section, F.col(k), sub)) for section, k, sub in found]))
 
 
 def token_counts(texts: DataFrame) -> DataFrame:
-    """Sections of tokens, pairs of tokens, word lengths, affixes and character positions."""
+    """Sections of tokens, pairs of tokens, word lengths, affixes and character positions.
+
+    Token pairs are summed first; what depends on one token comes from the sums by token. Both branches read one shuffle.
+    """
     pairs = X.token_pairs(X.sentences(texts, ["lang"], K.TRAIN_CHARS), ["lang"]).groupBy("lang", "token", "previous").agg(F.count("*").alias("n"))
-    pairs = pairs.withColumn("th", hashing.hash_token(F.col("token")))
+    bigram = hashing.mix(hashing.hash_token(F.col("previous")), hashing.hash_token(F.col("token"))).alias("key")
+    # a condition on the previous token would move below the first sum, and the two branches would read the text apart
+    bigrams = pairs.groupBy("lang", bigram).agg(F.sum(F.when(F.col("previous").isNotNull(), F.col("n"))).alias("cnt")).where("cnt IS NOT NULL")
+    bigrams = bigrams.select("lang", F.lit(K.TOKEN_BIGRAM).alias("section"), "key", F.lit(0).alias("sub"), "cnt")
+
+    tokens = pairs.groupBy("lang", "token").agg(F.sum("n").alias("n"))
     t, two = F.col("token"), X.has_affix(F.col("token"))
+    tokens = tokens.select(
+        "lang",
+        "n",
+        "token",
+        hashing.hash_token(t).alias("th"),
+        F.when(two, hashing.hash_token(X.prefix(t))).alias("ph"),
+        F.when(two, hashing.hash_token(X.suffix(t))).alias("sh"),
+    )
     inner = F.transform(F.split(F.substring(X.head(t), F.lit(2), F.length(X.head(t)) - 2), ""), lambda x: _entry(K.CHAR_POSITION, F.ascii(x), 1))
     found = F.array(
         _entry(K.TOKEN_UNIGRAM, F.col("th")),
-        F.when(F.col("previous").isNotNull(), _entry(K.TOKEN_BIGRAM, hashing.mix(hashing.hash_token(F.col("previous")), F.col("th")))),
         _entry(K.WORD_LENGTH, chars.length_bin(F.length(t), K.WORD_BINS)),
-        F.when(two, _entry(K.PREFIX, hashing.hash_token(X.prefix(t)))),
-        F.when(two, _entry(K.SUFFIX, hashing.hash_token(X.suffix(t)))),
+        F.when(two, _entry(K.PREFIX, F.col("ph"))),
+        F.when(two, _entry(K.SUFFIX, F.col("sh"))),
         F.when(two, _entry(K.CHAR_POSITION, F.ascii(X.first_char(t)), 0)),
         F.when(two, _entry(K.CHAR_POSITION, F.ascii(X.last_char(t)), 2)),
     )
-    return _sum(pairs, F.when(F.length(t) >= 3, F.concat(found, inner)).otherwise(found))
+    return bigrams.unionByName(_sum(tokens, F.when(F.length(t) >= 3, F.concat(found, inner)).otherwise(found)))
 
 
 def sentence_counts(texts: DataFrame) -> DataFrame:
@@ -98,7 +116,7 @@ class Counts:
 
 
 def train_counts(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Counts:
-    texts = known_texts(df, text_col, lang_col)
+    texts = known_texts(spread(df.select(F.col(text_col), F.col(lang_col))), text_col, lang_col)
     counts = char_counts(texts).unionByName(token_counts(texts)).unionByName(sentence_counts(texts))
     size = F.length(chars.folded(F.col("text"), K.TRAIN_CHARS))
     tokens = X.sentences(texts, ["lang"], K.TRAIN_CHARS).groupBy("lang").agg(F.sum(F.size("tokens")).alias("tokens_total"))

@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 from langloom.functions import chars, hashing
 
 
-def char_windows(df: DataFrame, keep: Sequence[str], limit: int, original: bool) -> DataFrame:
+def char_windows(df: DataFrame, keep: Sequence[str], limit: int, original: bool, classes: bool = False) -> DataFrame:
     """``keep``, c1, c2, c3: each folded character with the two after it (null past the end), of column ``text``.
 
-    With ``original``, o1 and o2 also: each original character and the next.
+    With ``original``, o1 and o2 also: each original character and the next. With ``classes``, k1 and k2: the classes of c1
+    and c2, looked up once a character.
     """
     rows = df.select(*keep, chars.characters(chars.folded(F.col("text"), limit)).alias("__c"), *([chars.characters(chars.consumed(F.col("text"), limit)).alias("__o")] if original else []))
     c = F.col("__c")
@@ -25,6 +26,9 @@ def char_windows(df: DataFrame, keep: Sequence[str], limit: int, original: bool)
     if original:
         o = F.col("__o")
         parts += [o.alias("o1"), F.slice(o, 2, limit).alias("o2")]
+    if classes:
+        rows = rows.withColumn("__k", F.transform("__c", chars.class_of))
+        parts += [F.col("__k").alias("k1"), F.slice("__k", 2, limit).alias("k2")]
     return rows.select(*keep, F.inline(F.arrays_zip(*parts)))
 
 
@@ -42,6 +46,13 @@ def token_pairs(sents: DataFrame, keep: Sequence[str]) -> DataFrame:
     return sents.select(*keep, F.inline(F.arrays_zip(F.col("tokens").alias("token"), before.alias("previous"))))
 
 
+def hashed_pairs(sents: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """``keep``, token, th and ph: hashes of the token and of the one before it, each computed once."""
+    rows = sents.select(*keep, "tokens", F.transform("tokens", hashing.hash_token).alias("__h"))
+    before = F.concat(F.array(F.lit(None).cast("long")), F.slice("__h", 1, F.size("__h") - 1))
+    return rows.select(*keep, F.inline(F.arrays_zip(F.col("tokens").alias("token"), F.col("__h").alias("th"), before.alias("ph"))))
+
+
 def head(token: Column) -> Column:
     """The characters that affixes are taken from."""
     return F.substring(token, 1, 8)
@@ -65,7 +76,3 @@ def first_char(token: Column) -> Column:
 
 def last_char(token: Column) -> Column:
     return F.right(head(token), F.lit(1))
-
-
-def pair_hash(previous: Column, token: Column) -> Column:
-    return hashing.mix(hashing.hash_token(previous), hashing.hash_token(token))

@@ -18,6 +18,7 @@ from langloom.functions import chars, hashing
 from langloom.functions import quantize as Q
 from langloom.operators import features as X
 from langloom.operators.model import Model
+from langloom.session import spread
 
 MOST_LANGUAGES = 256
 TERMS = ("tri", "bi", "uni", "tok", "affix", "tokbi", "pos", "cls", "wl", "sl")
@@ -66,15 +67,15 @@ class Lookup:
 
 def char_terms(docs: DataFrame, look: Lookup) -> DataFrame:
     """doc_id, n, and sums tri_i, bi_i, uni_i, cls_i of each language i."""
-    rows = X.char_windows(docs, ["doc_id"], K.SCORE_CHARS, False)
+    rows = X.char_windows(docs, ["doc_id"], K.SCORE_CHARS, False, True)
     a, b, c = (F.ascii(x) for x in ("c1", "c2", "c3"))
     rows = rows.select(
         "doc_id",
         a.cast("long").alias("u"),
         F.when(F.col("c2").isNotNull(), hashing.hash_code_points(a, b)).alias("h2"),
         F.when(F.col("c3").isNotNull(), hashing.hash_code_points(a, b, c)).alias("h3"),
-        chars.class_of(F.col("c1")).alias("ka"),
-        F.when(F.col("c2").isNotNull(), chars.class_of(F.col("c2"))).alias("kb"),
+        F.col("k1").alias("ka"),
+        F.col("k2").alias("kb"),
     )
     for key, name, section in (("u", "uni", K.CHAR_UNIGRAM), ("h2", "bi", K.CHAR_BIGRAM), ("h3", "tri", K.CHAR_TRIGRAM)):
         rows = rows.join(F.broadcast(look.ngram(section, name)), F.col(key) == F.col(f"{name}_key"), "left")
@@ -91,12 +92,12 @@ def char_terms(docs: DataFrame, look: Lookup) -> DataFrame:
 
 def token_terms(docs: DataFrame, look: Lookup) -> DataFrame:
     """doc_id, n_tok, n_tokbi, n_pos, and sums tok_i, affix_i, tokbi_i, pos_i, wl_i."""
-    rows = X.token_pairs(X.sentences(docs, ["doc_id"], None), ["doc_id"])
+    rows = X.hashed_pairs(X.sentences(docs, ["doc_id"], None), ["doc_id"])
     t, two = F.col("token"), X.has_affix(F.col("token"))
-    rows = rows.withColumn("th", hashing.hash_token(t)).select(
+    rows = rows.select(
         "doc_id",
         "th",
-        F.when(F.col("previous").isNotNull(), hashing.mix(hashing.hash_token(F.col("previous")), F.col("th"))).alias("bh"),
+        hashing.mix(F.col("ph"), F.col("th")).alias("bh"),
         F.when(two, hashing.hash_token(X.prefix(t))).alias("ph"),
         F.when(two, hashing.hash_token(X.suffix(t))).alias("sh"),
         F.when(two, F.ascii(X.first_char(t)).cast("long")).alias("fc"),
@@ -138,7 +139,7 @@ def terms(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     ``id_col`` must be unique. A null text counts as empty.
     """
     look = Lookup(model)
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = spread(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")))
     some = texts.where("text <> ''")
     joined = texts.select("doc_id")
     for part in (char_terms(some, look), token_terms(some, look), sentence_terms(some, look)):
