@@ -18,7 +18,7 @@ from langloom.sources.text import read_corpus
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="langloom", description=__doc__)
     p.add_argument("--langs", type=lambda s: [x for x in s.split(",") if x], default=[], help="codes, comma-separated; all by default")
-    p.add_argument("--out-dir", default="./evld")
+    p.add_argument("--out-dir", default="./models")
     p.add_argument("--max-docs", type=int, default=K.MAX_DOCS)
     p.add_argument("--eval-docs", type=int, default=K.EVAL_DOCS)
     p.add_argument("--text-col", default="text")

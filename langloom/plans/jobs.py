@@ -27,7 +27,7 @@ def train_corpus(
     return model, held_out_report(parts.where("split = 'eval'"), model)
 
 
-def run_benchmark(spark: SparkSession, path: str, model_path: str | None = None, out_dir: str = "./evld") -> dict:
+def run_benchmark(spark: SparkSession, path: str, model_path: str | None = None, out_dir: str = "./models") -> dict:
     """report and misses as DataFrames, with cases, seconds and documents a second."""
     cases = written(read_cases(spark, path), "cases")
     n = cases.count()

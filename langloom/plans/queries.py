@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 from langloom import constants as K
 from langloom.functions import chars, quantize
 from langloom.functions.text import snippet
+from langloom.operators import arrow_scoring as A
 from langloom.operators import counts as C
 from langloom.operators import evaluate as E
 from langloom.operators import scoring as S
 from langloom.operators.model import Model, build_model, token_idf, totals, train
 from langloom.operators.split import cap, strided_split
+from langloom.session import spread
 from langloom.sources import modelfile, registry
 from langloom.sources.cases import pick_cases
 from langloom.sources.text import texts_of
@@ -77,7 +79,7 @@ def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_df(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.token_document_counts(C.known_texts(table(spark, sf_dir, "documents"), keep=["doc_id"]))
+    return C.token_document_counts(C.known_texts(spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")), keep=["doc_id"]))
 
 
 def section_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,6 +148,15 @@ def classify_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(rows.select("doc_id", "lang", "confidence"), "confidence")
 
 
+def doc_terms_arrow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _longs(A.terms(table(spark, sf_dir, "documents"), trained_model(spark, sf_dir)).drop("lang"))
+
+
+def classify_arrow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = A.classify(table(spark, sf_dir, "documents"), trained_model(spark, sf_dir))
+    return _rounded(rows.select("doc_id", "lang", "rank", "score", "confidence"), "score", "confidence")
+
+
 def classify_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1_000_000 + F.col("turn")).alias("doc_id"), "text")
     return _rounded(S.classify_top(turns, trained_model(spark, sf_dir)).select("doc_id", "lang", "score"), "score")
@@ -225,7 +236,7 @@ NAMES = {
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        corpus_stats, token_df, section_totals, merge_counts, model_header, lookup_oov, doc_terms, score_all, classify, classify_top, classify_conversations, train_eval_split, doc_cap,
+        corpus_stats, token_df, section_totals, merge_counts, model_header, lookup_oov, doc_terms, doc_terms_arrow, score_all, classify, classify_arrow, classify_top, classify_conversations, train_eval_split, doc_cap,
         eval_accuracy, benchmark_report, benchmark_misses, text_scan_filter, lang_registry, json_cases, char_classes, model_roundtrip,
     )
 }

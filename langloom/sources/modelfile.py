@@ -202,21 +202,21 @@ def _put(spark: SparkSession, path: str, data: bytes) -> None:
 
 
 def write_files(model: Model, directory: str, bundle: bool = True) -> list[str]:
-    """<code>.evld for each language and, unless told not to, combined.evld; files are read back and checked.
+    """<code>.lid for each language and, unless told not to, combined.lid; files are read back and checked.
 
     At most a few hundred KB a language pass the driver.
     """
     spark, paths, items = model.header.sparkSession, [], []
     for r in encode(model).orderBy("lang_index").toLocalIterator():
         items.append((r["lang"], bytes(r["blob"])))
-        paths.append(f"{directory.rstrip('/')}/{r['lang']}.evld")
+        paths.append(f"{directory.rstrip('/')}/{r['lang']}.lid")
         _put(spark, paths[-1], items[-1][1])
     for (lang, _), path in zip(items, paths, strict=True):
         back = bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])
         if parse_one(back)[0]["lang"] != lang.encode()[:8].decode(errors="ignore"):
             raise ModelFileError("bad_text", path)
     if bundle:
-        paths.append(f"{directory.rstrip('/')}/combined.evld")
+        paths.append(f"{directory.rstrip('/')}/combined.lid")
         _put(spark, paths[-1], encode_bundle(items))
     return paths
 
@@ -228,15 +228,19 @@ def read_file(spark: SparkSession, path: str) -> Model:
 
 
 def find_file(spark: SparkSession, directory: str, model: str | None = None) -> str:
-    """``model``, or the directory's bundle, or its first model file by name."""
+    """``model``, or the directory's first bundle, or its first one-language file, known by their magic."""
     if model:
         return model
     base, fs = _fs(spark, directory)
-    names = sorted(s.getPath().toString() for s in fs.listStatus(base)) if fs.exists(base) else []
-    for name in names:
-        if name.endswith("/combined.evld"):
-            return name
-    for name in names:
-        if name.endswith(".evld"):
-            return name
+    found: dict[bytes, str] = {}
+    for status in fs.listStatus(base) if fs.exists(base) else []:
+        if status.isFile() and status.getLen() >= K.HEADER_BYTES:
+            stream = fs.open(status.getPath())
+            magic = bytes(b & 255 for b in (stream.readByte() for _ in range(4)))
+            stream.close()
+            name = status.getPath().toString()
+            found[magic] = min(name, found.get(magic, name))
+    for magic in (K.MANY_MAGIC, K.ONE_MAGIC):
+        if magic in found:
+            return found[magic]
     raise FileNotFoundError(f"no model in {directory}")

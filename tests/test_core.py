@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from langloom import constants as K
 from langloom.functions import chars, hashing, quantize
 from langloom.functions.text import is_json_array, short_name, snippet
+from langloom.operators import arrow_scoring
 from langloom.operators import features as X
 from langloom.operators.counts import Counts, train_counts
 from langloom.operators.model import build_model, token_idf
@@ -55,6 +56,7 @@ CLASSES = {
 
 def test_classes_and_folding(spark):
     df = spark.createDataFrame([(c,) for c in CLASSES], "c string")
+    assert {c: arrow_scoring.char_class(c) for c in CLASSES} == CLASSES
     assert {r.c: r.k for r in df.select("c", chars.class_of(F.col("c")).alias("k")).collect()} == CLASSES
     texts = spark.createDataFrame([("ΟΔΟΣ",), ("İx",), ("ABCé",), ("ΣΑΣ",)], "t string")
     assert [r[0] for r in texts.select(chars.fold(F.col("t"))).collect()] == ["οδοσ", "i̇x", "abcé", "σασ"]
@@ -146,7 +148,10 @@ def test_scores_against_plain_loops(spark):
     model = build_model(made).written()
     plain = train_plain([(r[1], r[2]) for r in rows])
     texts = [(1, "The fox. The café"), (2, "ΟΔΟΣ"), (3, ""), (4, None), (5, "--"), (6, "今日は text. ab"), (7, "x"), (8, "xy"), (9, "word " * 40), (10, rows[4][2]), (11, "The quick " * 4000), (12, "abcdefghijkl İstanbul Ⓐ ½")]
-    got = {(r.doc_id, r.lang): r for r in classify(spark.createDataFrame(texts, "doc_id long, text string"), model).collect()}
+    probes = spark.createDataFrame(texts, "doc_id long, text string")
+    a, b = terms(probes, model), arrow_scoring.terms(probes, model)
+    assert a.exceptAll(b.select(a.columns)).isEmpty() and b.select(a.columns).exceptAll(a).isEmpty()
+    got = {(r.doc_id, r.lang): r for r in classify(probes, model).collect()}
     assert len(got) == len(texts) * 4
     for i, text in texts:
         want = plain.classify(text or "")

@@ -39,7 +39,7 @@ def test_the_right_language_with_confidence(spark, model):
 
 def test_model_files(spark, model, tmp_path):
     paths = modelfile.write_files(model, str(tmp_path))
-    assert [p.rsplit("/", 1)[1] for p in paths] == ["en.evld", "de.evld", "pl.evld", "ja.evld", "combined.evld"]
+    assert [p.rsplit("/", 1)[1] for p in paths] == ["en.lid", "de.lid", "pl.lid", "ja.lid", "combined.lid"]
     back = modelfile.read_file(spark, paths[-1]).written()
     assert back.languages() == list(WORDS)
     a, b = modelfile.long_form(model), modelfile.long_form(back)
@@ -50,11 +50,11 @@ def test_model_files(spark, model, tmp_path):
     blobs = {r.lang: bytes(r.blob) for r in modelfile.encode(model).collect()}
     again = {r.lang: bytes(r.blob) for r in modelfile.encode(model).collect()}
     assert blobs == again and all(len(x) < 300 * 1024 for x in blobs.values())
-    whole = (tmp_path / "combined.evld").read_bytes()
-    assert modelfile.parse_any(whole) == [blobs[c] for c in WORDS] and modelfile.find_file(spark, str(tmp_path)).endswith("/combined.evld")
+    whole = (tmp_path / "combined.lid").read_bytes()
+    assert modelfile.parse_any(whole) == [blobs[c] for c in WORDS] and modelfile.find_file(spark, str(tmp_path)).endswith("/combined.lid")
     assert modelfile.read_file(spark, paths[1]).languages() == ["de"]
-    (tmp_path / "combined.evld").unlink()
-    assert modelfile.find_file(spark, str(tmp_path)).endswith("/de.evld") and modelfile.find_file(spark, "/nowhere", "x") == "x"
+    (tmp_path / "combined.lid").unlink()
+    assert modelfile.find_file(spark, str(tmp_path)).endswith("/de.lid") and modelfile.find_file(spark, "/nowhere", "x") == "x"
     with pytest.raises(FileNotFoundError):
         modelfile.find_file(spark, f"{tmp_path}/none")
 
@@ -188,7 +188,7 @@ def test_cli(spark, tmp_path, capsys):
     for lang, s in WORDS.items():
         (tmp_path / f"{lang}.txt").write_text("\n".join(f"{s} {i}" for i in range(6)))
     cli.main(["--langs", ",".join(WORDS), "--from-text", str(tmp_path), "--out-dir", f"{tmp_path}/m", "--max-docs", "4", "--eval-docs", "1"])
-    assert "TOTAL" in capsys.readouterr().out and (tmp_path / "m/combined.evld").exists()
+    assert "TOTAL" in capsys.readouterr().out and (tmp_path / "m/combined.lid").exists()
     (tmp_path / "cases.json").write_text(json.dumps([{"text": t, "lang": c} for c, t in PROBES.items()]))
     cli.main(["--benchmark", f"{tmp_path}/cases.json", "--out-dir", f"{tmp_path}/m"])
     assert "4 cases" in capsys.readouterr().out
