@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from langloom.llm.common import as_bytes, map_texts, table
 
 BITS = 14
-SAMPLE, CENTROIDS, ROUNDS = 400, 4, 12
+SAMPLE, CENTROIDS, ROUNDS, SALTS = 400, 4, 12, 16
 REJECT_QUANTILE = 0.001
 LETTER = regex.compile(r"\p{L}")
 #: Lower-cases A-Z; all other ASCII but letters is a space.
@@ -100,8 +100,11 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", rows:
     known = docs.select("doc_id", F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
     frequency, n = document_frequencies(known)
     idf = np.log((n + 1) / (frequency + 1)) + 1
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.select("doc_id", "lang").withColumn("k", F.row_number().over(order)).where(f"k <= {rows}").select("doc_id").distinct()
+    # ranked within parts of a language first, so that the last ranking has SALTS * rows rows of a language at most
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    ids = known.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt"))
+    ids = ids.withColumn("k", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(f"k <= {rows}")
+    chosen = ids.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(f"k <= {rows}").select("doc_id").distinct()
 
     def run(batches):
         for batch in batches:
