@@ -129,28 +129,31 @@ def _features(batches):
 
 
 def fit(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, rounds: int = 100, l2: float = 1e-6) -> Model:
-    """Full-batch logistic regression (Adam), then Platt calibration on each fifth row."""
+    """Full-batch logistic regression (Adam), then Platt calibration on each fifth row. ``x`` is used up."""
     size = 2 << BITS
-    held = np.arange(len(y)) % 5 == 4
-    rows = np.repeat(np.arange(len(x)), [len(a) for a, _ in x])
-    at, weight = np.concatenate([a for a, _ in x]), np.concatenate([b for _, b in x]).astype(np.float64)
-    use = ~held[rows]
-    r, a, v = rows[use], at[use], weight[use]
-    scale = 1 / (1e-3 + np.sqrt(np.bincount(a, v * v, size) / max(1, (~held).sum())))
+    order = np.argsort(np.arange(len(y)) % 5 == 4, kind="stable")  # those held out come last
+    x[:], y = [x[i] for i in order], y[order]
+    learn = int((np.arange(len(y)) % 5 != 4).sum())
+    counts = np.array([len(a) for a, _ in x])
+    rows, some = np.repeat(np.arange(len(x)), counts), int(counts[:learn].sum())
+    at, weight = np.concatenate([a for a, _ in x]).astype(np.int64), np.concatenate([b for _, b in x])
+    x.clear()
+    r, a, v, t = rows[:some], at[:some], weight[:some], y[:learn]
+    scale = 1 / (1e-3 + np.sqrt(np.bincount(a, v * v, size) / max(1, learn)))
     w, bias, m1, m2, mb1, mb2 = np.zeros(size), 0.0, np.zeros(size), np.zeros(size), 0.0, 0.0
-    balance = np.where(y == 1, 0.5 / max(1, y[~held].sum()), 0.5 / max(1, (1 - y[~held]).sum())) * ~held
-    v = v * scale[a]
-    for t in range(1, rounds + 1):
-        z = np.bincount(r, w[a] * v, len(y)) + bias
-        e = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) * balance
-        g, gb = np.bincount(a, e[r] * v, size) + l2 * w, float(e.sum())
+    balance = np.where(t == 1, 0.5 / max(1, t.sum()), 0.5 / max(1, (1 - t).sum()))
+    for k in range(1, rounds + 1):
+        z = np.bincount(r, (w * scale)[a] * v, learn) + bias
+        e = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - t) * balance
+        g, gb = np.bincount(a, e[r] * v, size) * scale + l2 * w, float(e.sum())
         m1, m2, mb1, mb2 = 0.9 * m1 + 0.1 * g, 0.99 * m2 + 0.01 * g * g, 0.9 * mb1 + 0.1 * gb, 0.99 * mb2 + 0.01 * gb * gb
-        step = 0.02 / (1 - 0.9**t)
-        w -= step * m1 / (np.sqrt(m2 / (1 - 0.99**t)) + 1e-9)
-        bias -= step * mb1 / (np.sqrt(mb2 / (1 - 0.99**t)) + 1e-9)
-    z = np.bincount(rows, (w * scale)[at] * weight, len(y)) + bias
-    slope, shift = platt(z[held], y[held]) if held.any() else (1.0, 0.0)
-    w = (w * scale).astype(np.float32)
+        step = 0.02 / (1 - 0.9**k)
+        w -= step * m1 / (np.sqrt(m2 / (1 - 0.99**k)) + 1e-9)
+        bias -= step * mb1 / (np.sqrt(mb2 / (1 - 0.99**k)) + 1e-9)
+    w *= scale
+    z = np.bincount(rows[some:] - learn, w[at[some:]] * weight[some:], len(y) - learn) + bias if learn < len(y) else np.zeros(0)
+    slope, shift = platt(z, y[learn:]) if len(z) else (1.0, 0.0)
+    w = w.astype(np.float32)
     return Model(w[: 1 << BITS], w[1 << BITS :], bias, slope, shift)
 
 
@@ -175,11 +178,13 @@ def platt(z: np.ndarray, y: np.ndarray, rounds: int = 100) -> tuple[float, float
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = TRAIN_ROWS, text_col: str = "text") -> Model | None:
     """The model, or None if the labels don't have both values. Reads at most ``rows`` texts' hashed counts."""
     known = sample(docs, labels, label, rows, text_col)
-    got = known.mapInArrow(_features, "doc_id long, label int, at binary, weight binary").toArrow().sort_by("doc_id").to_pylist()
-    y = np.array([g["label"] for g in got], dtype=np.int64)
+    got = known.mapInArrow(_features, "doc_id long, label int, at binary, weight binary").toArrow().sort_by("doc_id")
+    y = np.array(got.column("label").to_pylist(), dtype=np.int64)
     if len(set(y.tolist())) < 2:
         return None
-    return fit([(np.frombuffer(g["at"], np.uint32), np.frombuffer(g["weight"], np.float32)) for g in got], y)
+    x = [(np.frombuffer(a, np.uint32), np.frombuffer(b, np.float32)) for a, b in zip(got.column("at").to_pylist(), got.column("weight").to_pylist(), strict=True)]
+    del got
+    return fit(x, y)
 
 
 FIELDS = [T.StructField(n, T.LongType(), False) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
