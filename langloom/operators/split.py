@@ -1,30 +1,42 @@
-"""Document cap and strided held-out split, in closed form instead of a sequential scan."""
+"""Document cap and strided held-out split, in closed form instead of a sequential scan.
+
+Only keys are ranked, never texts: first within ``SALTS`` parts of a language, where all but the first ``limit`` keys go,
+then what is left of the language, whose number of rows is so bounded. Rows are joined back by language and key.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from langloom import constants as K
 
+SALTS = 32
+
+
+def positions(df: DataFrame, order: list[str], limit: int, lang_col: str = "lang") -> DataFrame:
+    """(lang, order…, position): the first ``limit`` keys of each language, from 1. ``order`` must be total and not null."""
+    keys = df.select(lang_col, *order, F.pmod(F.xxhash64(*order), F.lit(SALTS)).alias("__salt"))
+    few = keys.withColumn("__k", F.row_number().over(Window.partitionBy(lang_col, "__salt").orderBy(*order))).where(F.col("__k") <= limit)
+    placed = few.withColumn("position", F.row_number().over(Window.partitionBy(lang_col).orderBy(*order)).cast("long"))
+    return placed.where(F.col("position") <= limit).select(lang_col, *order, "position")
+
 
-def strided_split(df: DataFrame, order: list[str | Column], max_docs: int = K.MAX_DOCS, eval_docs: int = K.EVAL_DOCS, lang_col: str = "lang") -> DataFrame:
+def strided_split(df: DataFrame, order: list[str], max_docs: int = K.MAX_DOCS, eval_docs: int = K.EVAL_DOCS, lang_col: str = "lang") -> DataFrame:
     """Rows that a scan in ``order`` reaches, with ``split`` train or eval and ``position`` (1 first).
 
     Each stride-th document of a language is held out until there are ``eval_docs``; those don't count to the cap of
-    ``max_docs`` training documents, at which the scan ends. ``order`` must be total. Ranks need a language's
-    documents in order, so only languages are parallel here; a plain cap without eval_docs is cut on the map side.
+    ``max_docs`` training documents, at which the scan ends.
     """
     stride = max(1, max_docs // max(1, eval_docs))
-    rows = df.withColumn("position", F.row_number().over(Window.partitionBy(lang_col).orderBy(*order)).cast("long"))
     i = F.col("position")
     trained_before = (i - 1) - F.least(F.floor((i - 1) / stride), F.lit(eval_docs))
     held = (i % stride == 0) & (F.floor(i / stride) <= eval_docs)
-    rows = rows.where(F.col("position") <= max_docs + eval_docs).where(trained_before < max_docs)
-    return rows.withColumn("split", F.when(held, "eval").otherwise("train"))
+    reached = positions(df, order, max_docs + eval_docs, lang_col).where(trained_before < max_docs)
+    rows = df.join(reached.withColumn("split", F.when(held, "eval").otherwise("train")), [lang_col, *order])
+    return rows.select(*df.columns, "position", "split")
 
 
-def cap(df: DataFrame, order: list[str | Column], max_docs: int, lang_col: str = "lang") -> DataFrame:
+def cap(df: DataFrame, order: list[str], max_docs: int, lang_col: str = "lang") -> DataFrame:
     """The first ``max_docs`` documents of each language."""
-    rows = df.withColumn("__k", F.row_number().over(Window.partitionBy(lang_col).orderBy(*order)))
-    return rows.where(F.col("__k") <= max_docs).drop("__k")
+    return df.join(positions(df, order, max_docs, lang_col).drop("position"), [lang_col, *order], "left_semi")
