@@ -155,7 +155,9 @@ def deduplicate(docs: DataFrame, text_col: str = "text", shingle: int = 5, radiu
     Rows without doc_id can't be told apart by it; each stays unless its fingerprint has a row with one.
     """
     found = near_duplicates(docs, text_col, shingle, radius)
-    gone = found.where("doc_id <> component_id OR (doc_id IS NULL AND component_id IS NOT NULL)").select("doc_id", "fp").distinct()
+    gone = found.where("doc_id <> component_id OR (doc_id IS NULL AND component_id IS NOT NULL)").select("doc_id", "fp")
+    # written before distinct(): Spark can then split the join's hot fingerprints, whose rows no sum needs together
+    gone = Workspace(docs.sparkSession, "simhash").keep(gone, "gone").distinct()
     marked = fingerprints(docs, text_col, docs.columns, shingle).withColumnRenamed("fp", "__fp")
     left = marked.join(gone, marked["doc_id"].eqNullSafe(gone["doc_id"]) & (marked["__fp"] == gone["fp"]), "left_anti").drop("__fp")
     again = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
