@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+SLICE_ROWS = 1000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -90,7 +93,9 @@ def map_texts(
         work = None
         for batch in batches:
             work = work or start()
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(n)] + list(work(batch.column(at))), names=keep + made)
+            for i in range(0, batch.num_rows, SLICE_ROWS):  # what a batch makes is held a slice at a time
+                part = batch.slice(i, SLICE_ROWS)
+                yield pa.RecordBatch.from_arrays([part.column(k) for k in range(n)] + list(work(part.column(at))), names=keep + made)
 
     return sent.mapInArrow(run, schema)
 
