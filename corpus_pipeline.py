@@ -20,10 +20,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: shingles of five words, fingerprints within four bits.
-
-    Four of 64 bits are an angle whose cosine is 0.98, well above the least similarity of 0.8.
-    """
+    """One document of each group of near-duplicates: five-word shingles of Jaccard similarity 0.8 or more, or fingerprints within four bits."""
     return simhash.deduplicate(docs)
 
 

@@ -33,6 +33,9 @@ CHUNK = 512  # fingerprints whose variants are made at once
 BUCKET_ROWS = 1_000_000  # variants that meet in one task's memory
 ROUND_BYTES, MOST_ROUNDS = 64 << 20, 8
 MIX = np.uint64(0x9E3779B97F4A7C15)
+SIMILARITY, BANDS, BAND_ROWS = 0.8, 25, 5
+TURNS = np.random.default_rng(SEED).integers(0, 2**64, BANDS * BAND_ROWS, dtype=np.uint64) | np.uint64(1)  # one order of the hashes each
+PAIRS_A_COPY, BROADCAST_ROWS = 256, 500_000
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -149,20 +152,125 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", shingle: int = SHIN
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def deduplicate(docs: DataFrame, text_col: str = "text", shingle: int = 5, radius: int = RADIUS) -> DataFrame:
+def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
+    """The hashes that ``fingerprint`` sums, one for each shingle, repeats included."""
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    line = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    cut = zip(starts[: max(1, len(words) - shingle + 1)].tolist(), ends[min(shingle, len(words)) - 1 :].tolist(), strict=True)
+    return np.array([xxh64_intdigest(line[a:b], SEED) for a, b in cut], dtype="<u8")
+
+
+def bands(grams: np.ndarray) -> list[int]:
+    """Band hashes of the set's minimum hashes: two sets of Jaccard 0.8 share none of them once in 20,000 pairs."""
+    if not len(grams):
+        return []
+    low = np.full(len(TURNS), np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(grams), 1024):
+        np.minimum(low, (TURNS[:, None] * grams[None, i : i + 1024]).min(axis=1), out=low)
+    rows = low.reshape(BANDS, BAND_ROWS)
+    return np.array([xxh64_intdigest(r.tobytes(), i) for i, r in enumerate(rows)], dtype=np.uint64).view(np.int64).tolist()
+
+
+def profiles(docs: DataFrame, text_col: str, shingle: int) -> DataFrame:
+    """``docs`` plus __fp (the fingerprint), __set (a name of the set of shingles) and __bands (none for a text without words)."""
+
+    def start():
+        def work(texts: pa.Array) -> list[pa.Array]:
+            prints, names, hashed = [], [], []
+            for text in as_bytes(texts):
+                every = shingle_hashes(text, shingle)
+                total = np.zeros(64, dtype=np.int64)
+                for i in range(0, len(every), 1 << 16):
+                    total += np.unpackbits(every[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
+                grams = np.unique(every)
+                prints.append(np.packbits(total * 2 > len(every), bitorder="little").view("<i8")[0])
+                names.append(xxh64_intdigest(grams.tobytes(), SEED))
+                hashed.append(bands(grams))
+            return [pa.array(np.array(prints, dtype=np.int64)), pa.array(np.array(names, dtype=np.uint64).view(np.int64)), pa.array(hashed, pa.list_(pa.int64()))]
+
+        return work
+
+    fields = [T.StructField("__fp", T.LongType(), False), T.StructField("__set", T.LongType(), False), T.StructField("__bands", T.ArrayType(T.LongType()), False)]
+    return map_texts(docs, text_col, docs.columns, fields, start)
+
+
+def _verified(work: Workspace, pairs: DataFrame, marked: DataFrame, text_col: str, shingle: int, similarity: float, name: str) -> DataFrame:
+    """Those of ``pairs`` (a, b) of sets whose Jaccard similarity is ``similarity`` or more, from the whole sets.
+
+    A set that is compared to many others is copied, one copy for ``PAIRS_A_COPY`` of them, so no task gets all its pairs.
+    """
+
+    def start():
+        return lambda texts: [pa.array([np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in as_bytes(texts)], pa.list_(pa.int64()))]
+
+    need = work.keep(pairs.selectExpr("a AS __set").union(pairs.selectExpr("b AS __set")).distinct(), f"{name}_need")
+    wanted = F.broadcast(need) if need.count() <= BROADCAST_ROWS else need
+    one = marked.select("__set", F.col(quoted(text_col)).cast("string").alias("__t")).join(wanted, "__set", "left_semi").dropDuplicates(["__set"])
+    grams = work.keep(map_texts(one, "__t", ["__set"], [T.StructField("grams", T.ArrayType(T.LongType()), False)], start), f"{name}_grams")
+    hot = work.keep(pairs.groupBy("a").count().where(F.col("count") > PAIRS_A_COPY).select("a", F.ceil(F.col("count") / PAIRS_A_COPY).cast("int").alias("copies")), f"{name}_hot")
+    copies = F.coalesce("copies", F.lit(1))
+    left = grams.selectExpr("__set AS a", "grams AS ga").join(F.broadcast(hot), "a", "left").select("a", "ga", F.explode(F.sequence(F.lit(0), copies - 1)).alias("copy"))
+    asked = pairs.join(F.broadcast(hot), "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), copies).cast("int").alias("copy"))
+    both = asked.join(left, ["a", "copy"]).join(grams.selectExpr("__set AS b", "grams AS gb"), "b")
+    common = both.select("a", "b", F.size("ga").alias("na"), F.size("gb").alias("nb"), F.size(F.array_intersect("ga", "gb")).alias("n"))
+    return work.keep(common.where(F.col("n") >= similarity * (F.col("na") + F.col("nb") - F.col("n"))).select("a", "b"), f"{name}_found")
+
+
+def _components(work: Workspace, marked: DataFrame, near: DataFrame, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """(node, component) over fingerprints: links ``near``, and any pair of texts of Jaccard ``similarity`` or more.
+
+    Sets that share a band are candidates. Each is first compared to the smallest of its bucket; then all pairs of a
+    bucket that are not of one component by then are compared as well.
+    """
+    sets = work.keep(marked.where("size(__bands) > 0").groupBy("__set").agg(F.min("__fp").alias("fp"), F.first("__bands").alias("bands")), "sets")
+    prints = sets.select("__set", "fp")
+    same = marked.where("size(__bands) > 0").select("__set", "__fp").distinct().join(prints, "__set").where("fp <> __fp").selectExpr("fp AS a", "__fp AS b")
+    rows = work.keep(sets.select("__set", F.explode("bands").alias("bucket")), "bands")
+    shared = rows.groupBy("bucket").agg(F.min("__set").alias("low"), F.max("__set").alias("high")).where("low <> high").select("bucket", "low")
+    hits = work.keep(rows.join(shared, "bucket"), "hits")
+    work.drop("bands")
+    first = work.keep(hits.where("__set <> low").selectExpr("low AS a", "__set AS b").distinct(), "first")
+    a, b = prints.selectExpr("__set AS a", "fp AS fa"), prints.selectExpr("__set AS b", "fp AS fb")
+    by_print = lambda found: found.join(a, "a").join(b, "b").where("fa <> fb").selectExpr("fa AS a", "fb AS b")
+    edges = work.keep(near.union(same).union(by_print(_verified(work, first, marked, text_col, shingle, similarity, "first"))), "edges")
+    done = work.keep(connected_components(work, edges), "components")
+    named = work.keep(prints.join(done, prints["fp"] == done["node"], "left").select("__set", F.coalesce("component", "fp").alias("c")), "set_components")
+    placed = work.keep(hits.select("bucket", "__set").join(named, "__set"), "placed")
+    mixed = placed.groupBy("bucket").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("bucket")
+    open_ = work.keep(placed.join(mixed, "bucket", "left_semi"), "mixed")
+    cross = open_.selectExpr("bucket", "__set AS a", "c AS ca").join(open_.selectExpr("bucket", "__set AS b", "c AS cb"), "bucket").where("a < b AND ca <> cb").select("a", "b")
+    second = work.keep(cross.distinct().join(first, ["a", "b"], "left_anti"), "second")
+    if second.isEmpty():
+        return done
+    more = by_print(_verified(work, second, marked, text_col, shingle, similarity, "second"))
+    if more.isEmpty():
+        return done
+    return connected_components(work, work.keep(edges.union(more), "all_edges"))
+
+
+def deduplicate(docs: DataFrame, text_col: str = "text", shingle: int = 5, radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` that stay: of each component, the one with the smallest doc_id, once.
 
-    Rows without doc_id can't be told apart by it; each stays unless its fingerprint has a row with one.
+    Linked are fingerprints within ``radius`` bits, and texts whose sets of shingles have a Jaccard similarity of
+    ``similarity`` or more. Rows without doc_id can't be told apart by it; each stays unless its component has a row with one.
     """
-    found = near_duplicates(docs, text_col, shingle, radius)
-    gone = found.where("doc_id <> component_id OR (doc_id IS NULL AND component_id IS NOT NULL)").select("doc_id", "fp")
+    work = Workspace(docs.sparkSession, "simhash")
+    marked = work.keep(profiles(docs, text_col, shingle), "marked")
+    distinct = work.keep(marked.groupBy(F.col("__fp").alias("fp")).agg(F.min("doc_id").alias("low")), "distinct")
+    joined = _components(work, marked, links(work, distinct, radius), text_col, shingle, similarity)
+    named = distinct.join(joined, distinct.fp == joined.node, "left").select("fp", "low", F.coalesce("component", "fp").alias("c"))
+    named = work.keep(named.join(named.groupBy("c").agg(F.min("low").alias("component_id")), "c").select("fp", "c", "component_id"), "named")
+    found = marked.select("doc_id", "__fp").join(named, F.col("__fp") == named["fp"])
     # written before distinct(): Spark can then split the join's hot fingerprints, whose rows no sum needs together
-    gone = Workspace(docs.sparkSession, "simhash").keep(gone, "gone").distinct()
-    marked = fingerprints(docs, text_col, docs.columns, shingle).withColumnRenamed("fp", "__fp")
-    left = marked.join(gone, marked["doc_id"].eqNullSafe(gone["doc_id"]) & (marked["__fp"] == gone["fp"]), "left_anti").drop("__fp")
-    again = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
+    gone = work.keep(found.where("doc_id <> component_id OR (doc_id IS NULL AND component_id IS NOT NULL)").select("doc_id", "fp"), "gone").distinct()
+    left = marked.join(gone, marked["doc_id"].eqNullSafe(gone["doc_id"]) & (marked["__fp"] == gone["fp"]), "left_anti").select(*[quoted(c) for c in docs.columns])
+    again = marked.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
     if again.isEmpty():
-        return left.select(*[quoted(c) for c in docs.columns])
+        return left
     return left.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id IS NULL"))
 
 

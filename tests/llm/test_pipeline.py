@@ -2,7 +2,7 @@ import corpus_pipeline
 from test_bpe import reference
 from test_decontam import brute as leaks
 from test_secrets import BASE, EXTRA
-from test_simhash import brute_components, brute_print
+from test_simhash import brute_components, brute_kept, brute_print
 
 from langloom.llm import rules
 
@@ -27,3 +27,9 @@ def test_run_against_a_plain_version(spark, sf_dir):
             at = max(at, b)
         assert got[doc_id].ids == lib.encode_ordinary(out + text[at:])
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "simhash_near_dedup", "benchmark_decontamination", "secret_scan", "byte_bpe"]
+
+
+def test_near_copies_leave_the_corpus(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    want = brute_kept([(r.doc_id, r.text) for r in docs.collect()])
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, sf_dir).collect()} == want

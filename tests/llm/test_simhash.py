@@ -78,3 +78,42 @@ def test_every_link_within_the_radius_and_rounds(spark, monkeypatch):
     assert len(set(want)) < len(want)
     groups = lambda names: {frozenset(p for p, n in zip(signed, names, strict=True) if n == m) for m in names}
     assert groups([got.get(p, p) for p in signed]) == groups(want)
+
+
+def brute_kept(rows, similarity=0.8):
+    """doc_ids that stay of (doc_id, text): components of all pairs within 4 bits or of the similarity in five-word shingles."""
+    ids, prints = [i for i, _ in rows], [brute_print(t, 5) for _, t in rows]
+    words = [WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t)) for _, t in rows]
+    sets = [{" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+    low = list(ids)
+    while True:
+        before = list(low)
+        for i in range(len(rows)):
+            for j in range(i):
+                shared = len(sets[i] & sets[j])
+                if (prints[i] ^ prints[j]).bit_count() <= 4 or (shared and shared >= similarity * (len(sets[i]) + len(sets[j]) - shared)):
+                    low[i] = low[j] = min(low[i], low[j])
+        if low == before:
+            return {i for i, c in zip(ids, low, strict=True) if i == c}
+
+
+def test_copies_with_edits_are_removed(spark, monkeypatch):
+    """Edited copies on both sides of Jaccard 0.8, chains of them, and a set with more pairs than one copy takes."""
+    monkeypatch.setattr(simhash, "PAIRS_A_COPY", 3)
+    rng = np.random.default_rng(5)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    rows = [(1, ""), (2, " "), (3, "one two"), (4, "One two"), (5, "one two three")]
+    for base in range(12):
+        text = word(int(rng.integers(40, 300)))
+        rows.append((len(rows) + 1, " ".join(text)))
+        for share in (0.005, 0.01, 0.02, 0.03, 0.05):
+            edited = list(text)
+            for at in rng.choice(len(text), max(1, int(share * len(text))), replace=False):
+                edited[at] = word(1)[0]
+            rows.append((len(rows) + 1, " ".join(edited)))
+            if base % 2:
+                text = edited
+    want = brute_kept(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in simhash.deduplicate(docs).collect()} == want
+    assert 20 < len(want) < len(rows) - 20
