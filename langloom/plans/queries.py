@@ -23,7 +23,7 @@ from langloom.sources.cases import pick_cases
 from langloom.sources.text import texts_of
 from langloom.workspace import written
 
-SPLIT_DOCS, SPLIT_EVAL = 100, 10
+SPLIT_DOCS, SPLIT_EVAL = K.MAX_DOCS, K.EVAL_DOCS
 _made: dict[tuple, object] = {}
 
 
@@ -180,7 +180,7 @@ def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def benchmark_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Over the documents, by a model of a hundred per language."""
+    """Over the documents, by the model of the split's training documents."""
     rows = E.benchmark_report(_cases(spark, sf_dir), split_model(spark, sf_dir)[1])
     return rows.select("want", "ok", "total", F.round("avg_confidence", 4).alias("avg_confidence"))
 
