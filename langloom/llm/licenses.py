@@ -1,8 +1,11 @@
 """License scans: sparse TF-IDF cosine to templates, and inheritance from the nearest ancestor directory.
 
-Every line of a whole text that has a licence word is a notice (of a long line, the words around it); a
-file that is a licence by its name is compared whole as well. Terms are words and pairs of words; a term's weight
-is its count times its idf over the templates. The best template at ``LEAST`` cosine or more names the licence.
+Every line of a whole text that has a licence word is a notice (of a long line, the words around it). Terms are
+words and pairs of words; a term's weight is its count times its idf over the templates. The best template at
+``LEAST`` cosine or more names the licence.
+
+A licence text of many lines, in a file of any name, is compared across its lines to ``TEXTS`` (whole short
+licences, the openings of long ones), and wins over single lines from ``BLOCK_LEAST`` on.
 
 A file without one takes that of the nearest ancestor directory with a licence file. Directories are made
 distinct before their ancestors are listed, and both joins are on whole paths.
@@ -17,6 +20,7 @@ import math
 import re
 from collections import Counter
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +29,7 @@ from pyspark.sql import types as T
 
 from langloom.llm.common import Workspace, map_texts, table
 
-LEAST, AROUND = 0.5, 15
+LEAST, BLOCK_LEAST, AROUND = 0.5, 0.75, 15
 TEMPLATES: tuple[tuple[str, str], ...] = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "you may not use this file except in compliance with the License. distributed on an AS IS basis, without warranties or conditions of any kind"),
@@ -47,6 +51,33 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("Proprietary", "All rights reserved."),
     ("Proprietary", "Copyright. All rights reserved. Confidential and proprietary."),
 )
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+)
+_BSD_3 = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+_BSD_END = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. '
+    "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
+    "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+TEXTS: tuple[tuple[str, str], ...] = (
+    ("BSD-3-Clause", _BSD + _BSD_3 + _BSD_END),
+    ("BSD-2-Clause", _BSD + _BSD_END),
+    (
+        "MIT",
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: '
+        'The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. '
+        "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ),
+    ("Apache-2.0", 'Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION 1. Definitions. "License" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document.'),
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.'),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed. Preamble The GNU General Public License is a free, copyleft license for software and other kinds of works."),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1989, 1991 Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed. Preamble The licenses for most software are designed to take away your freedom to share and change it."),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed. This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below."),
+)
+BLOCK = re.compile(r"redistributions?\s+(?:and|of|in)|permission\s+is\s+hereby|apache\s+license|general\s+public\s+license", re.I)
 TRIGGER = re.compile(r"licen[sc]e|copyright|rights\s+reserved|spdx|permission\s+is\s+hereby|redistribut|public\s+domain", re.I)
 TOKEN = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 FILE_NAME = re.compile(r"(?:^|/)(?:licen[sc]e|copying|copyright|notice|unlicense)[^/]*$", re.I)
@@ -66,12 +97,32 @@ class Matcher:
         self.idf = {k: 1 + math.log((1 + len(counts)) / (1 + n)) for k, n in found.items()}
         self.unknown = 1 + math.log(1 + len(counts))
         self.names = [n for n, _ in templates]
+        self.lengths = [len(TOKEN.findall(t.lower())) for _, t in templates]
         self.postings: dict[str, list[tuple[int, float]]] = {}
         for i, c in enumerate(counts):
             norm = math.sqrt(sum((n * self.idf[k]) ** 2 for k, n in c.items()))
             for k, n in c.items():
                 self.postings.setdefault(k, []).append((i, n * self.idf[k] / norm))
 
+    def inside(self, words: list[str]) -> tuple[str | None, float]:
+        """The best template and its cosine to a passage of the template's own length within ``words``."""
+        pairs = [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
+        gains: dict[int, list[float]] = {}
+        for at, k in [*enumerate(words), *enumerate(pairs)]:
+            for i, w in self.postings.get(k, ()):
+                gains.setdefault(i, [0.0] * len(words))[at] += self.idf[k] * w
+        best: tuple[str | None, float] = (None, 0.0)
+        for i in sorted(gains):
+            n = min(self.lengths[i], len(words))
+            sums = [0.0, *accumulate(gains[i])]
+            a = max(range(len(words) - n + 1), key=lambda j: sums[j + n] - sums[j])  # a pair that leaves the passage counts here, not below
+            c = Counter(words[a : a + n]) + Counter(pairs[a : a + n - 1])
+            norm = math.sqrt(sum((m * self.idf.get(k, self.unknown)) ** 2 for k, m in c.items()))
+            cos = min(1.0, sum(m * self.idf[k] * w for k, m in c.items() for t, w in self.postings.get(k, ()) if t == i) / norm)
+            if cos > best[1]:
+                best = (self.names[i], cos)
+        return best
+
     @lru_cache(maxsize=100_000)  # notices repeat word for word
     def best(self, text: str) -> tuple[str | None, float]:
         c, score = terms(text), [0.0] * len(self.names)
@@ -104,7 +155,19 @@ def notices(text: str) -> list[tuple[int, int]]:
     return out
 
 
-@lru_cache(maxsize=2)
+def block(text: str, matcher: Matcher) -> tuple[str | None, float]:
+    """The licence text that ``text`` holds, over any number of lines; (None, cosine) below ``BLOCK_LEAST``."""
+    best, done = (None, 0.0), -1
+    for m in BLOCK.finditer(text):
+        if m.start() < done:
+            continue
+        done = m.start() + 4000  # each stretch reaches a longest licence beyond the triggers that it stands for
+        found = matcher.inside(TOKEN.findall(text[max(0, m.start() - 4000) : done + 4000].lower()))
+        best = max(best, found, key=lambda x: x[1])
+    return best if best[1] >= BLOCK_LEAST else (None, best[1])
+
+
+@lru_cache(maxsize=4)
 def _matcher(templates: tuple[tuple[str, str], ...]) -> Matcher:
     return Matcher(templates)
 
@@ -113,19 +176,20 @@ SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end
 
 
 def scan(files: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns plus own_license, own_score and notices (code points); own is the best of the notices."""
+    """``keep`` columns plus own_license, own_score and notices (code points); own is the licence text it holds, else the best of the notices."""
     fields = [T.StructField("own_license", T.StringType()), T.StructField("own_score", T.DoubleType(), False), T.StructField("notices", T.ArrayType(SPAN), False)]
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("license", pa.string()), ("score", pa.float64())]))
 
     def start():
-        matcher = _matcher(templates)
+        matcher, whole = _matcher(templates), _matcher(TEXTS)
 
         def work(texts: pa.Array) -> list[pa.Array]:
             rows = []
             for text in texts.to_pylist():
                 found = [{"start": a, "end": b, "license": n, "score": s} for a, b in notices(text or "") for n, s in [matcher.best(text[a:b])]]
                 best = max((x for x in found if x["license"]), key=lambda x: (x["score"], -x["start"]), default=None)
-                rows.append((best and best["license"], best["score"] if best else 0.0, found))
+                name, score = block(text or "", whole)
+                rows.append((name, score, found) if name else (best and best["license"], best["score"] if best else 0.0, found))
             return [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.float64(), span))]
 
         return work

@@ -55,3 +55,19 @@ def test_whole_table(spark):
         want = own[r.doc_id] or (own[near] if near is not None else own[far] if far is not None else None)
         assert r.license == want
         assert r.depth == (None if own[r.doc_id] or want is None else 0 if near is not None else 2)
+
+
+def own(spark, *texts):
+    files = spark.createDataFrame([(f"{i}/LICENSE", t) for i, t in enumerate(texts)], "path string, text string").coalesce(1)
+    return [r.own_license for r in licenses.scan(files).orderBy("path").collect()]
+
+
+def test_licence_texts_of_many_lines(spark):
+    import textwrap
+
+    whole = dict(reversed(licenses.TEXTS))
+    head = "Copyright (c) 2021, The Authors\nAll rights reserved.\n\n"
+    texts = [head + textwrap.fill(whole[n].replace("copyright holder", "University"), 72) + "\n" for n in ("BSD-3-Clause", "BSD-2-Clause", "MIT")]
+    gpl = textwrap.fill(whole["GPL-3.0"], 60) + "\n" + "The licenses for most software and other practical works are yours.\nAll rights reserved.\n"
+    code = "/*\n * All rights reserved.\n *\n" + "\n".join(" * " + x for x in textwrap.wrap(whole["BSD-3-Clause"], 70)) + "\n */\n" + "int x;\n" * 3000
+    assert own(spark, *texts, gpl, code, "prose\nAll rights reserved.\n") == ["BSD-3-Clause", "BSD-2-Clause", "MIT", "GPL-3.0", "BSD-3-Clause", "Proprietary"]
