@@ -2,7 +2,8 @@
 
 Every line of a whole text that has a licence word is a notice (of a long line, the words around it). Terms are
 words and pairs of words; a term's weight is its count times its idf over the templates. The best template at
-``LEAST`` cosine or more names the licence.
+``LEAST`` cosine or more names the licence; so does a passage of a template's length inside the line at ``BLOCK_LEAST``,
+and an SPDX line by its first identifier. "All rights reserved" counts where no notice names another licence.
 
 A licence text of many lines, in a file of any name, is compared across its lines to ``TEXTS`` (whole short
 licences, the openings of long ones), and wins over single lines from ``BLOCK_LEAST`` on.
@@ -29,7 +30,7 @@ from pyspark.sql import types as T
 
 from langloom.llm.common import Workspace, map_texts, table
 
-LEAST, BLOCK_LEAST, AROUND = 0.5, 0.75, 15
+LEAST, BLOCK_LEAST, AROUND, REACH = 0.5, 0.75, 15, 400
 TEMPLATES: tuple[tuple[str, str], ...] = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "you may not use this file except in compliance with the License. distributed on an AS IS basis, without warranties or conditions of any kind"),
@@ -80,6 +81,7 @@ TEXTS: tuple[tuple[str, str], ...] = (
 BLOCK = re.compile(r"redistributions?\s+(?:and|of|in)|permission\s+is\s+hereby|apache\s+license|general\s+public\s+license", re.I)
 TRIGGER = re.compile(r"licen[sc]e|copyright|rights\s+reserved|spdx|permission\s+is\s+hereby|redistribut|public\s+domain", re.I)
 TOKEN = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
+SPDX = re.compile(r"spdx-license-identifier:[\s(]*([a-z0-9][a-z0-9.+-]*)", re.I)
 FILE_NAME = re.compile(r"(?:^|/)(?:licen[sc]e|copying|copyright|notice|unlicense)[^/]*$", re.I)
 
 
@@ -123,6 +125,10 @@ class Matcher:
                 best = (self.names[i], cos)
         return best
 
+    @lru_cache(maxsize=100_000)
+    def passage(self, text: str) -> tuple[str | None, float]:
+        return self.inside(TOKEN.findall(text.lower()))
+
     @lru_cache(maxsize=100_000)  # notices repeat word for word
     def best(self, text: str) -> tuple[str | None, float]:
         c, score = terms(text), [0.0] * len(self.names)
@@ -155,6 +161,20 @@ def notices(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def judge(text: str, a: int, b: int, matcher: Matcher) -> tuple[str | None, float]:
+    """The licence of the notice at [a, b): by an SPDX identifier, the whole notice, or a passage in or around it on its line."""
+    named = SPDX.search(text, a, b)
+    if named:
+        name = re.sub(r"(?i)-only$|-or-later$|\+$", "", named[1].rstrip(".-"))
+        return next((n for n, _ in (*TEMPLATES, *TEXTS) if n.lower() == name.lower()), name), 1.0
+    whole = matcher.best(text[a:b])
+    if whole[1] > 0.999:
+        return whole
+    left, right = text.rfind("\n", max(0, a - REACH), a) + 1 or max(0, a - REACH), text.find("\n", b, b + REACH)
+    part = matcher.passage(text[left : right if right >= 0 else b + REACH])
+    return part if part[1] >= BLOCK_LEAST and part[1] > whole[1] else whole
+
+
 def block(text: str, matcher: Matcher) -> tuple[str | None, float]:
     """The licence text that ``text`` holds, over any number of lines; (None, cosine) below ``BLOCK_LEAST``."""
     best, done = (None, 0.0), -1
@@ -186,8 +206,8 @@ def scan(files: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, t
         def work(texts: pa.Array) -> list[pa.Array]:
             rows = []
             for text in texts.to_pylist():
-                found = [{"start": a, "end": b, "license": n, "score": s} for a, b in notices(text or "") for n, s in [matcher.best(text[a:b])]]
-                best = max((x for x in found if x["license"]), key=lambda x: (x["score"], -x["start"]), default=None)
+                found = [{"start": a, "end": b, "license": n, "score": s} for a, b in notices(text or "") for n, s in [judge(text, a, b, matcher)]]
+                best = max((x for x in found if x["license"]), key=lambda x: (x["license"] != "Proprietary", x["score"], -x["start"]), default=None)
                 name, score = block(text or "", whole)
                 rows.append((name, score, found) if name else (best and best["license"], best["score"] if best else 0.0, found))
             return [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.float64(), span))]

@@ -71,3 +71,16 @@ def test_licence_texts_of_many_lines(spark):
     gpl = textwrap.fill(whole["GPL-3.0"], 60) + "\n" + "The licenses for most software and other practical works are yours.\nAll rights reserved.\n"
     code = "/*\n * All rights reserved.\n *\n" + "\n".join(" * " + x for x in textwrap.wrap(whole["BSD-3-Clause"], 70)) + "\n */\n" + "int x;\n" * 3000
     assert own(spark, *texts, gpl, code, "prose\nAll rights reserved.\n") == ["BSD-3-Clause", "BSD-2-Clause", "MIT", "GPL-3.0", "BSD-3-Clause", "Proprietary"]
+
+
+def test_notices_inside_long_lines_and_spdx(spark):
+    few, many = "the code in this folder was written there ", "some other words of plain prose stand here " * 12
+    notes = {
+        "Released under the MIT License.": "MIT", "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "Licensed under CC BY 4.0.": "CC-BY-4.0",
+        "This work is licensed under the GNU General Public License, version 2.": "GPL-2.0", "All rights reserved.": "Proprietary",
+    }
+    for before, after in ((few, ""), ("", few), (few, few), (many, many), (many + "a license of sorts and then " + few, many)):
+        assert own(spark, *[before + n + " " + after for n in notes]) == list(notes.values())
+    assert own(spark, many + many, many + "the license is somewhere " + many) == [None, None]
+    assert own(spark, "# SPDX-License-Identifier: Apache-2.0", "// SPDX-License-Identifier: (MIT OR GPL-2.0)", "/* SPDX-License-Identifier: GPL-3.0-or-later */", "x SPDX-License-Identifier: ISC") == ["Apache-2.0", "MIT", "GPL-3.0", "ISC"]
+    assert own(spark, "Copyright 2020 The Authors. All rights reserved.\nLicensed under the Apache License, Version 2.0.") == ["Apache-2.0"]
