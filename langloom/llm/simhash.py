@@ -257,6 +257,7 @@ def deduplicate(docs: DataFrame, text_col: str = "text", shingle: int = 5, radiu
 
     Linked are fingerprints within ``radius`` bits, and texts whose sets of shingles have a Jaccard similarity of
     ``similarity`` or more. Rows without doc_id can't be told apart by it; each stays unless its component has a row with one.
+    A doc_id of several components stays once in each.
     """
     work = Workspace(docs.sparkSession, "simhash")
     marked = work.keep(profiles(docs, text_col, shingle), "marked")
@@ -267,11 +268,13 @@ def deduplicate(docs: DataFrame, text_col: str = "text", shingle: int = 5, radiu
     found = marked.select("doc_id", "__fp").join(named, F.col("__fp") == named["fp"])
     # written before distinct(): Spark can then split the join's hot fingerprints, whose rows no sum needs together
     gone = work.keep(found.where("doc_id <> component_id OR (doc_id IS NULL AND component_id IS NOT NULL)").select("doc_id", "fp"), "gone").distinct()
-    left = marked.join(gone, marked["doc_id"].eqNullSafe(gone["doc_id"]) & (marked["__fp"] == gone["fp"]), "left_anti").select(*[quoted(c) for c in docs.columns])
+    left = marked.join(gone, marked["doc_id"].eqNullSafe(gone["doc_id"]) & (marked["__fp"] == gone["fp"]), "left_anti")
     again = marked.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
+    columns = [quoted(c) for c in docs.columns]
     if again.isEmpty():
-        return left
-    return left.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id IS NULL"))
+        return left.select(*columns)
+    known = left.where("doc_id IS NOT NULL").join(named.select("fp", F.col("c").alias("__c")), F.col("__fp") == F.col("fp"))
+    return known.dropDuplicates(["doc_id", "__c"]).select(*[known[c] for c in columns]).unionByName(left.where("doc_id IS NULL").select(*columns))
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

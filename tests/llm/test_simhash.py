@@ -117,3 +117,10 @@ def test_copies_with_edits_are_removed(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id for r in simhash.deduplicate(docs).collect()} == want
     assert 20 < len(want) < len(rows) - 20
+
+
+def test_different_texts_of_one_doc_id_stay(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(7, a), (7, b), (7, b), (8, b), (9, c), (9, a), (None, c), (None, "no id")]
+    left = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(((r.doc_id or 0, r.text) for r in left.collect())) == sorted([(7, a), (7, b), (9, c), (0, "no id")])
