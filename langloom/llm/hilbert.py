@@ -104,17 +104,25 @@ def assign(docs: DataFrame, axes: list[Column], keep: list[Column], tie: list[st
     return placed.drop("__part", "__at", "__before")
 
 
-def shard_documents(docs: DataFrame, shards: int = SHARDS, text_col: str = "text") -> DataFrame:
-    """doc_id, size, text_crc32, curve, shard, slot of each document."""
+def shard_documents(docs: DataFrame, shards: int = SHARDS, text_col: str = "text", carry: bool = False) -> DataFrame:
+    """doc_id, size, text_crc32, curve, shard, slot of each document; with ``carry`` its row as well, as __doc."""
     text = F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit(""))
     size, check = F.octet_length(text).cast("long") + 1, F.crc32(text.cast("binary"))
     axes = [category(F.col("lang")), category(F.col("source")), magnitude(size)]
-    return assign(docs, axes, [F.col("doc_id"), size.alias("size"), check.alias("text_crc32")], ["text_crc32", "size", "doc_id"], shards)
+    row = [F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("__doc")] if carry else []
+    return assign(docs, axes, [F.col("doc_id"), size.alias("size"), check.alias("text_crc32"), *row], ["text_crc32", "size", "doc_id"], shards)
 
 
-def write_shards(docs: DataFrame, placed: DataFrame, path: str) -> None:
-    """The documents as one folder per shard, in the order of the slots; rows are matched by doc_id."""
-    rows = docs.join(placed.select("doc_id", "shard", "slot"), "doc_id")
+def write_shards(docs: DataFrame, placed: DataFrame, path: str, text_col: str = "text") -> None:
+    """The documents as one folder per shard, in the order of the slots, each row once.
+
+    Rows travel with their places, as doc_id may be null or repeated; where ``placed`` doesn't carry them, they are
+    placed again into as many shards, by the same order.
+    """
+    if "__doc" not in placed.columns:
+        last = placed.agg(F.max("shard")).first()[0]
+        placed = shard_documents(docs, 1 if last is None else last + 1, text_col, carry=True)
+    rows = placed.select("__doc.*", "shard", "slot")
     rows.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").mode("overwrite").parquet(path)
 
 

@@ -34,6 +34,17 @@ def test_shards(spark, odd, odd_rows, empty, tmp_path):
     assert back.count() == docs.count() and {r.shard for r in back.select("shard").distinct().collect()} == {0, 1, 2}
 
 
+def test_written_shards_have_every_row_once(spark, odd, odd_rows, tmp_path):
+    docs = odd.drop("note")
+    key = lambda r: (str(r[0]), str(r[1]), str(r[2]))
+    for carry in (True, False):
+        hilbert.write_shards(docs, hilbert.shard_documents(docs, 3, carry=carry), f"{tmp_path}/all")
+        back = spark.read.parquet(f"{tmp_path}/all").select("doc_id", "text", "lang", "shard", "slot").collect()
+        assert sorted(map(key, back)) == sorted(map(key, odd_rows))
+        counts = [sum(r.shard == s for r in back) for s in range(3)]
+        assert sorted((r.shard, r.slot) for r in back) == [(s, k) for s in range(3) for k in range(counts[s])]
+
+
 def test_shards_of_a_table(spark):
     rows = hilbert.op5(spark, "/root/testdata/sf0.01").collect()
     counts = [sum(r.shard == s for r in rows) for s in range(8)]
