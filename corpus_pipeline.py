@@ -1,62 +1,8 @@
-"""The training-data pipeline over ``documents``: stages that each apply one corpus operator.
+"""The training-data pipeline over ``documents``: see langloom.llm.stages."""
 
-Each stage's rows are written to the shared folder and read again as the next one's documents, so a lost
-executor costs no more than the stage at hand.
-"""
-
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from langloom.llm import bpe, decontam, rules, secrets, simhash
-from langloom.llm.common import Workspace, table
-
-
-def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules and the classifier keep."""
-    model = rules.train(docs, table(spark, sf_dir, "labels"))
-    return rules.quality_rules(docs, model).where("kept").select(*docs.columns)
-
-
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles of Jaccard similarity 0.8 or more, or fingerprints within four bits."""
-    return simhash.deduplicate(docs)
-
-
-def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any window of a benchmark item."""
-    found = decontam.find_leaks(docs, table(spark, sf_dir, "benchmark"))
-    return found.where("n_hit = 0").select(*docs.columns)
-
-
-def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their secrets masked; n_chars is that of the new text."""
-    return secrets.redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
-
-
-def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The tokens of each document."""
-    return bpe.encode(docs, keep=[c for c in docs.columns if c not in ("text", "n_chars")])
-
-
-STAGES = [
-    ("quality_rules", quality_rules),
-    ("simhash_near_dedup", near_duplicates),
-    ("benchmark_decontamination", decontamination),
-    ("secret_scan", secret_scan),
-    ("byte_bpe", encoding),
-]
+from langloom.llm.stages import STAGES, run
 
 #: A trained classifier and 64-bit hashes of shingles are beyond SQL; tests hold run() against a plain version.
 ORACLE_SQL = None
 
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    work = Workspace(spark, "pipeline")
-    docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = work.keep(stage(spark, docs, sf_dir), name)
-        if k > 1:
-            work.drop(STAGES[k - 1][0])
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]

@@ -6,7 +6,8 @@ an open-addressing hash table, the row closes up by one column, and finished row
 Pre-tokens beyond the longest bucket follow the same rule with a heap over a linked list, so one
 endless "word" costs n log n instead of n squared.
 
-Null and empty texts have no ids. Repeated rows, ties and extra columns need no care: rows are independent.
+Null and empty texts have no ids. Repeated rows and ties need no care: rows are independent. Kept columns may have any
+names (see ``common``). Very long texts are walked ``WALK_WORDS`` pre-tokens at a time.
 """
 
 from __future__ import annotations
@@ -24,13 +25,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from langloom.llm.common import map_texts, table
+from langloom.llm.common import SLICE_ROWS, beside, map_texts, release_memory, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 LONGEST_ROW = 256
-CACHED_WORDS = 500_000
+CACHED_WORDS = 150_000
 #: Texts are cut into pre-tokens this many characters at a time; longer texts are walked by an iterator.
-CHUNK_CHARS, WALK_CHARS, WALK_WORDS = 2_000_000, 4_000_000, 200_000
+CHUNK_CHARS, WALK_CHARS, WALK_WORDS = 500_000, 1_000_000, 100_000
 NONE = np.int64(1) << 62
 
 
@@ -162,7 +163,7 @@ class Encoder:
             else:
                 buckets.setdefault((len(raw) - 1).bit_length(), []).append((word, raw))
         for size, found in buckets.items():
-            step = max(1, (1 << 21) >> size)
+            step = max(1, (1 << 19) >> size)
             for i in range(0, len(found), step):
                 part = found[i : i + step]
                 self.cache.update(zip((w for w, _ in part), self._rows([r for _, r in part]), strict=True))
@@ -238,17 +239,20 @@ def decode(df: DataFrame, vocabulary: str | None = None, ids_col: str = "ids", o
         ranks = (line.split() for line in f.read().splitlines() if line)
         by_id = {int(b): base64.b64decode(a) for a, b in ranks}
     sent = df.sparkSession.sparkContext.broadcast([by_id.get(i, b"") for i in range(max(by_id) + 1)])
-    rest = [c for c in df.columns if c != out_col]
-    schema = T.StructType([df.schema[c] for c in rest] + [T.StructField(out_col, T.BinaryType())])
+    at = df.columns.index(ids_col)
+    names = beside(df.columns, [out_col])
+    schema = T.StructType([T.StructField(n, f.dataType, f.nullable) for n, f in zip(names, df.schema.fields, strict=True)] + [T.StructField(out_col, T.BinaryType())])
 
     def run(batches):
         tokens = sent.value
-        for batch in batches:
-            ids = batch.column(rest.index(ids_col)).to_pylist()
-            made = [None if x is None else b"".join(map(tokens.__getitem__, x)) for x in ids]
-            yield pa.RecordBatch.from_arrays(batch.columns + [pa.array(made, pa.binary())], names=[*rest, out_col])
-
-    return df.select(*rest).mapInArrow(run, schema)
+        for whole in batches:
+            for lo in range(0, whole.num_rows, SLICE_ROWS):
+                batch = whole.slice(lo, SLICE_ROWS)
+                made = [None if x is None else b"".join(map(tokens.__getitem__, x)) for x in batch.column(at).to_pylist()]
+                yield pa.RecordBatch.from_arrays(batch.columns + [pa.array(made, pa.binary())], names=schema.names)
+        release_memory()
+
+    return df.mapInArrow(run, schema)
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

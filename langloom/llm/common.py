@@ -1,17 +1,24 @@
-"""Shared plumbing of the corpus operators: tables, written intermediates, Arrow maps, components."""
+"""Shared plumbing of the corpus operators: tables, written intermediates, Arrow maps, components.
+
+Columns of the input that an operator doesn't compute with travel under names of the operator's own, so they may have any
+name. One whose name a computed column needs (in any case) comes out as ``<name>_input``, its values unchanged.
+"""
 
 from __future__ import annotations
 
+import ctypes
 import gc
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
+from functools import cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from langloom.workspace import app_dir, delete
 
 SLICE_ROWS = 1000
 
@@ -25,25 +32,45 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a private one only where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = tempfile.mkdtemp(prefix="langloom-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
+def beside(columns: Sequence[str], made: Sequence[str]) -> list[str]:
+    """The names that input columns have beside computed ones."""
+    taken = {m.lower() for m in made}
+    used, out = taken | {c.lower() for c in columns}, []
+    for c in columns:
+        name = c
+        while name.lower() in taken or (name != c and name.lower() in used):
+            name += "_input"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
+def numbered(docs: DataFrame, own: dict[str, str]) -> tuple[DataFrame, list[Column]]:
+    """``docs`` with the columns of ``own`` (new name: column) renamed and the others as c0, c1, ...; and what to select in the end.
+
+    A column called text that isn't a string is sent beside its original, as a string.
+    """
+    known = {c: k for k, c in own.items() if k != "text" or docs.schema[c].dataType == T.StringType()}
+    names = [known.get(c, f"c{i}") for i, c in enumerate(docs.columns)]
+    frame = docs.select(*[F.col(quoted(c)).alias(n) for n, c in zip(names, docs.columns, strict=True)], *[F.col(quoted(c)).cast("string").alias(k) for k, c in own.items() if c not in known])
+    return frame, [F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)]
+
+
+_open: list[list[Workspace]] = []
 
 
 class Workspace:
     """Written intermediate tables of one operator run, in the shared folder.
 
     ``keep`` writes a frame and reads it back, which cuts its lineage: a lost executor costs a reread.
-    ``drop`` removes what a later step no longer reads.
+    ``drop`` removes what a later step no longer reads; what is left goes when the application ends.
     """
 
     def __init__(self, spark: SparkSession, tag: str):
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/langloom/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex[:12]}"
+        self.root = f"{app_dir(spark)}/{tag}-{uuid.uuid4().hex[:12]}"
+        for made in _open[-1:]:
+            made.append(self)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -53,9 +80,7 @@ class Workspace:
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, name: str = "") -> None:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path(name) if name else self.root)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete(self.spark, self.path(name) if name else self.root)
 
     def release_shuffles(self) -> None:
         """Lets Spark's cleaner delete shuffle files of frames that are no longer referenced."""
@@ -63,12 +88,39 @@ class Workspace:
         self.spark._jvm.System.gc()
 
 
+@contextmanager
+def scratch():
+    """Drops the workspaces made inside when left, by when their frames must have been written elsewhere."""
+    made: list[Workspace] = []
+    _open.append(made)
+    try:
+        yield
+    finally:
+        _open.pop()
+        for work in made:
+            work.drop()
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """Texts as UTF-8 bytes; null is empty."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
     return [x or b"" for x in column.cast(kind).to_pylist()]
 
 
+@cache
+def _libc():
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):
+        return lambda _: None
+
+
+def release_memory() -> None:
+    """Gives what a finished task no longer uses back to the system: workers live on, and share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    _libc()(0)
+
+
 def map_texts(
     docs: DataFrame,
     text_col: str,
@@ -78,16 +130,13 @@ def map_texts(
 ) -> DataFrame:
     """``keep`` columns of ``docs`` plus the columns computed from each Arrow batch of texts.
 
-    ``start`` runs once per task and returns the batch function. A kept column that has the name of a
-    computed one gives way to it.
+    ``start`` runs once per task and returns the batch function.
     """
-    made = [f.name for f in fields]
-    lower = {m.lower() for m in made}
-    keep = [c for c in keep if c.lower() not in lower]
+    names = beside(keep, [f.name for f in fields])
     own = text_col in keep and docs.schema[text_col].dataType == T.StringType()  # else the text is sent beside them
-    sent = docs.select(*[F.col(quoted(c)) for c in keep], *[F.col(quoted(text_col)).cast("string").alias("__text")] * (not own))
-    n, at = len(keep), keep.index(text_col) if own else len(keep)
-    schema = T.StructType([docs.schema[c] for c in keep] + list(fields))
+    sent = docs.select(*[F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(keep)], *[F.col(quoted(text_col)).cast("string").alias("text")] * (not own))
+    n, at = len(keep), list(keep).index(text_col) if own else len(keep)
+    schema = T.StructType([T.StructField(name, docs.schema[c].dataType, docs.schema[c].nullable) for name, c in zip(names, keep, strict=True)] + list(fields))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = None
@@ -95,7 +144,9 @@ def map_texts(
             work = work or start()
             for i in range(0, batch.num_rows, SLICE_ROWS):  # what a batch makes is held a slice at a time
                 part = batch.slice(i, SLICE_ROWS)
-                yield pa.RecordBatch.from_arrays([part.column(k) for k in range(n)] + list(work(part.column(at))), names=keep + made)
+                yield pa.RecordBatch.from_arrays([part.column(k) for k in range(n)] + list(work(part.column(at))), names=schema.names)
+        work = None
+        release_memory()
 
     return sent.mapInArrow(run, schema)
 

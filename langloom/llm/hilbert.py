@@ -1,28 +1,25 @@
 """Sharding along a Hilbert curve over quantised metadata.
 
 Language, source and size are quantised to ``BITS`` bits each; documents are sorted by the index of their
-cell on the Hilbert curve (then by checksum, size and doc_id), and the order is cut into runs of equal counts.
-A shard so covers few values of every dimension, and its files can be pruned by any of them.
-
-The sort is a range partitioning on the whole key, so a cell or a text that holds a third of all rows is split
-among tasks. Global positions come from a written table of (partition, position) and the partitions' counts.
-
-Law ``rows``: counts at most one apart. Equal texts are neighbours inside their cell; where the law's cut
-falls inside such a group, it is split. Null texts have size 1 and checksum 0; null metadata is value 0;
-repeated rows get places of their own.
+cell on the Hilbert curve, and the order is cut into runs of equal counts. A shard so covers few values of every
+dimension, and its files can be pruned by any of them.
+
+Equal texts go to one cell, the first of those that their rows have; inside a cell, texts with most copies come first, then
+order is by checksum, size, digest and doc_id. The sort is a range partitioning on the whole key, so a cell or a text that
+holds a third of all rows is split among tasks. Global positions come from a written table of (partition, position) and
+the partitions' counts. All of it is column expressions: the curve is a table of 2**(3 * BITS) cells, broadcast.
+
+Law ``rows``: counts at most one apart. Equal texts are neighbours, so of their groups only those are split that one of the
+cuts, which the law sets, falls into: one less than there are shards at most. Null texts have size 1 and checksum 0; null
+metadata is value 0; repeated rows get places of their own. Other columns are read by ``write_shards`` alone, and may have
+any names but shard and slot.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
-import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from langloom.llm.common import Workspace, quoted, table
 
@@ -57,60 +54,60 @@ def curve_index(axes: list[np.ndarray], bits: int = BITS) -> np.ndarray:
 
 
 def category(col: Column, bits: int = BITS) -> Column:
-    """A cell for each value: its hash. Null is 0."""
-    return F.coalesce(F.pmod(F.xxhash64(col.cast("string")), F.lit(1 << bits)), F.lit(0)) * F.when(col.isNull(), 0).otherwise(1)
+    """A cell for each value: by its MD5. Null is 0."""
+    return F.coalesce(F.conv(F.substring(F.md5(col.cast("string").cast("binary")), 1, 4), 16, 10).cast("int") % (1 << bits), F.lit(0))
 
 
 def magnitude(col: Column, bits: int = BITS) -> Column:
-    """A cell for each half of a power of two."""
-    return F.least(F.floor(2 * F.log2(F.greatest(F.coalesce(col, F.lit(1)), F.lit(1)).cast("double"))), F.lit((1 << bits) - 1))
+    """A cell for each power of two: the number of binary digits."""
+    return F.least(F.length(F.bin(F.greatest(F.coalesce(col, F.lit(1)), F.lit(1)).cast("long"))), F.lit((1 << bits) - 1))
 
 
-def assign(docs: DataFrame, axes: list[Column], keep: list[Column], tie: list[str], shards: int = SHARDS, bits: int = BITS) -> DataFrame:
-    """``keep`` plus curve, shard and slot: runs of the curve's order, counts at most one apart."""
-    spark = docs.sparkSession
-    work = Workspace(spark, "hilbert")
+def cells(spark: SparkSession, dims: int, bits: int = BITS) -> DataFrame:
+    """(cell, curve): the place on the curve of each cell, a cell being its axes' values in base 2**bits."""
+    every = np.arange(1 << (dims * bits))
+    at = curve_index([(every >> (bits * (dims - 1 - i))) & ((1 << bits) - 1) for i in range(dims)], bits)
+    return spark.createDataFrame(list(zip(every.tolist(), at.tolist(), strict=True)), "cell int, curve long")
 
-    @F.pandas_udf("long")
-    def index(cells: pd.DataFrame) -> pd.Series:
-        return pd.Series(curve_index([cells[c].to_numpy() for c in cells.columns], bits))
-
-    cells = F.struct(*[a.cast("long").alias(f"a{i}") for i, a in enumerate(axes)])
-    rows = docs.select(*keep, index(cells).alias("curve"))
-    order = [F.col(c) for c in ("curve", *tie)]
-    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    schema = T.StructType(rows.schema.fields + [T.StructField("__part", T.IntegerType(), False), T.StructField("__at", T.LongType(), False)])
-
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, at = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(n, part, np.int32)), pa.array(np.arange(at, at + n))], names=schema.names)
-            at += n
-
-    done = work.keep(rows.mapInArrow(number, schema), "ordered")
-    counts = sorted((r["__part"], r["n"]) for r in done.groupBy("__part").agg(F.count("*").alias("n")).collect())  # a row for each task
+
+def assign(rows: DataFrame, axes: list[Column], same: str, order: list[str], shards: int = SHARDS, bits: int = BITS) -> DataFrame:
+    """``rows`` plus curve, shard and slot: runs of the curve's order, counts at most one apart.
+
+    ``same``: what rows of one group share, to stay together; ``order``: ties inside a cell.
+    """
+    spark = rows.sparkSession
+    work = Workspace(spark, "hilbert")
+    cell = sum((a.cast("int") * (1 << (bits * (len(axes) - 1 - i))) for i, a in enumerate(axes)), F.lit(0))
+    rows = rows.withColumn("__cell", cell)
+    rows = rows.join(F.broadcast(cells(spark, len(axes), bits).withColumnRenamed("cell", "__cell")), "__cell").drop("__cell")  # 2**(bits * axes) rows
+    copies = rows.groupBy(same).agg(F.count("*").alias("__n"), F.min("curve").alias("__low")).where("__n > 1").withColumnRenamed(same, "__same")
+    rows = rows.join(copies, F.col(same) == F.col("__same"), "left").withColumn("curve", F.coalesce("__low", "curve")).withColumn("__less", -F.coalesce("__n", F.lit(1)))
+    keys = [F.col(c) for c in ("curve", "__less", *order)]
+    rows = rows.drop("__same", "__low", "__n").repartitionByRange(*keys).sortWithinPartitions(*keys)
+    done = work.keep(rows.withColumn("__at", F.monotonically_increasing_id()).drop("__less"), "ordered")  # the partition, then the place in it
+    counts = sorted((r["part"], r["n"]) for r in done.groupBy(F.shiftright("__at", 33).alias("part")).agg(F.count("*").alias("n")).collect())  # a row for each task
     before, total = [], 0
     for part, n in counts:
-        before.append((part, total))
+        before.append((part, total - (part << 33)))
         total += n
     small, more = divmod(total, shards)
     rank = F.col("__at") + F.col("__before")
     cut = more * (small + 1)
     shard = F.when(rank < cut, F.floor(rank / (small + 1))).otherwise(more + F.floor((rank - cut) / max(1, small)))
     first = F.col("shard") * small + F.least(F.col("shard"), F.lit(more))
-    places = spark.createDataFrame(before, "__part int, __before long")
-    placed = done.join(F.broadcast(places), "__part").withColumn("shard", shard.cast("int")).withColumn("slot", (rank - first).cast("long"))
+    places = spark.createDataFrame(before, "__part long, __before long")
+    placed = done.withColumn("__part", F.shiftright("__at", 33)).join(F.broadcast(places), "__part").withColumn("shard", shard.cast("int")).withColumn("slot", (rank - first).cast("long"))
     return placed.drop("__part", "__at", "__before")
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS, text_col: str = "text", carry: bool = False) -> DataFrame:
     """doc_id, size, text_crc32, curve, shard, slot of each document; with ``carry`` its row as well, as __doc."""
     text = F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit(""))
-    size, check = F.octet_length(text).cast("long") + 1, F.crc32(text.cast("binary"))
-    axes = [category(F.col("lang")), category(F.col("source")), magnitude(size)]
+    size, check, digest = F.octet_length(text).cast("long") + 1, F.crc32(text.cast("binary")), F.sha2(text.cast("binary"), 256)
     row = [F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("__doc")] if carry else []
-    return assign(docs, axes, [F.col("doc_id"), size.alias("size"), check.alias("text_crc32"), *row], ["text_crc32", "size", "doc_id"], shards)
+    rows = docs.select("doc_id", size.alias("size"), check.alias("text_crc32"), digest.alias("__digest"), category(F.col("lang")).alias("__a"), category(F.col("source")).alias("__b"), magnitude(size).alias("__c"), *row)
+    placed = assign(rows, [F.col(c) for c in ("__a", "__b", "__c")], "__digest", ["text_crc32", "size", "__digest", "doc_id"], shards)
+    return placed.drop("__a", "__b", "__c", "__digest")
 
 
 def write_shards(docs: DataFrame, placed: DataFrame, path: str, text_col: str = "text") -> None:

@@ -7,7 +7,8 @@ the greatest cosine; one that is farther from it than nearly all of the language
 ``rejected`` but still named.
 
 Null texts and texts without a letter are ``und`` with score 0. Without training documents, all are. Ties go to the
-first language in order. Repeated rows are predicted alike.
+first language in order. Repeated rows are predicted alike. A very long text is counted ``PIECE`` bytes at a time. Kept columns
+may have any names (see ``common``).
 """
 
 from __future__ import annotations
@@ -19,10 +20,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from langloom.llm.common import as_bytes, map_texts, table
+from langloom.llm.common import as_bytes, map_texts, quoted, release_memory, table
 
 BITS = 14
-SAMPLE, CENTROIDS, ROUNDS, SALTS = 400, 4, 12, 16
+SAMPLE, CENTROIDS, ROUNDS, PIECE = 400, 4, 12, 1 << 20
 REJECT_QUANTILE = 0.001
 LETTER = regex.compile(r"\p{L}")
 #: Lower-cases A-Z; all other ASCII but letters is a space.
@@ -34,11 +35,13 @@ def vector(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     line = b" " + b" ".join(text.translate(FOLD).split()) + b" "
     if len(line) < 3:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    a = np.frombuffer(line, dtype=np.uint8).astype(np.uint32)
-    two = a[:-1] | (a[1:] << np.uint32(8))
-    three = two[:-1] | (a[2:] << np.uint32(16)) | np.uint32(1 << 24)
-    at = (np.concatenate([two, three]) * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)
-    counts = np.bincount(at, minlength=1 << BITS)
+    counts = np.zeros(1 << BITS, dtype=np.int64)
+    for lo in range(0, len(line) - 1, PIECE):
+        a = np.frombuffer(line, dtype=np.uint8)[lo : lo + PIECE + 2].astype(np.uint32)  # two more, for the n-grams that begin in this piece
+        two = a[:-1] | (a[1:] << np.uint32(8))
+        three = two[:-1] | (a[2:] << np.uint32(16)) | np.uint32(1 << 24)
+        at = (np.concatenate([two[:PIECE], three[:PIECE]]) * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)
+        counts += np.bincount(at, minlength=1 << BITS)
     found = np.flatnonzero(counts)
     return found, counts[found]
 
@@ -60,6 +63,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
                 n += 1
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(total[at], n))], names=["bucket", "n"])
+        release_memory()
 
     rows = docs.select("text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()  # 2**BITS rows at most
     got = {r["bucket"]: r["n"] for r in rows}
@@ -97,14 +101,17 @@ class Model:
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE) -> Model:
     """Learns from every row of ``docs`` with text and language; at most ``rows`` vectors per language are gathered."""
-    known = docs.select("doc_id", F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
+    known = docs.select("doc_id", F.col(quoted(text_col)).cast("string").alias("text"), F.col(quoted(lang_col)).cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
     frequency, n = document_frequencies(known)
     idf = np.log((n + 1) / (frequency + 1)) + 1
-    # ranked within parts of a language first, so that the last ranking has SALTS * rows rows of a language at most
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    ids = known.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt"))
-    ids = ids.withColumn("k", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(f"k <= {rows}")
-    chosen = ids.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(f"k <= {rows}").select("doc_id").distinct()
+    # of each language about twice as many ids as are needed pass a bound on the hash; they are few enough to be ranked in one task
+    ids = known.where("doc_id IS NOT NULL").select("doc_id", "lang")
+    sizes = ids.groupBy("lang").agg(F.approx_count_distinct("doc_id", 0.02).alias("n")).collect()  # a row for each language
+    bounds = [(r["lang"], min(2**63 - 1, int(-(2**63) + 2**64 * min(1.0, (2 * rows + 50) / r["n"])))) for r in sizes]
+    bounds = docs.sparkSession.createDataFrame(bounds, "lang string, bound long")
+    few = ids.join(F.broadcast(bounds), "lang").where(F.xxhash64("doc_id") <= F.col("bound")).select("lang", "doc_id").distinct()
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    chosen = few.withColumn("k", F.row_number().over(order)).where(f"k <= {rows}").select("doc_id").distinct()
 
     def run(batches):
         for batch in batches:

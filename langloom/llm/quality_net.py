@@ -6,9 +6,11 @@ over all documents, unit length. A document is pooled to the mean and the spread
 the share of neighbours that are equal and of tokens that are new. A two-layer network is trained on a bounded
 sample of labelled rows (``TRAIN_ROWS``), and its probabilities are calibrated by a temperature.
 
-The corpus pass sums dense partial tables by block of buckets in two levels, so no task holds more than its share.
-Null and empty texts pool to zeros and get the network's score for that. Without labels of both kinds the score
-is the share of label 1, or 0.5. Repeated rows are scored alike.
+The corpus pass sums dense partial tables, whole numbers, by block of buckets in two levels, so no task holds more than its
+share and the sums don't depend on the partitions. Null and empty texts pool to zeros and get the network's score for
+that. Without labels of both kinds the score is the share of label 1, or 0.5. Repeated rows are scored alike. A very long
+text is cut into tokens block by block, and its vectors are summed ``PIECE`` tokens at a time. Kept columns may have any names
+(see ``common``).
 """
 
 from __future__ import annotations
@@ -20,13 +22,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from langloom.llm.common import as_bytes, map_texts, table
+from langloom.llm.common import as_bytes, map_texts, quoted, release_memory, table
 from langloom.llm.rules import sample
 from langloom.llm.tokens import BY_KIND, chunks, mix, tokenize
 
 WORD_BITS, DIM, NONZERO, REACH = 15, 32, 4, 2
 WORDS = 1 << WORD_BITS
-BLOCKS, SPREAD = 256, 32
+BLOCKS, SPREAD, PIECE = 256, 32, 1 << 16
 FEATURES = 2 * DIM + 3
 TRAIN_ROWS, HIDDEN, EPOCHS = 6000, 32, 60
 THRESHOLD = 0.3
@@ -35,7 +37,7 @@ THRESHOLD = 0.3
 def buckets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(bucket of each token, first token of each text and the end)."""
     value, first = tokenize(texts, BY_KIND)
-    return (value >> np.uint64(64 - WORD_BITS)).astype(np.int64), first
+    return (value >> np.uint64(64 - WORD_BITS)).astype(np.int32), first
 
 
 def index_vectors() -> tuple[np.ndarray, np.ndarray]:
@@ -46,13 +48,26 @@ def index_vectors() -> tuple[np.ndarray, np.ndarray]:
 
 def accumulate(texts: list[bytes], into: np.ndarray, place: np.ndarray, sign: np.ndarray) -> None:
     """Adds each token's neighbours' index vectors to its row of ``into``."""
-    token, first = buckets(texts)
-    owner = np.repeat(np.arange(len(texts)), np.diff(first))
-    for reach in range(1, REACH + 1):
-        both = np.flatnonzero(owner[reach:] == owner[:-reach])
-        left, right = token[both], token[both + reach]
-        for a, b in ((left, right), (right, left)):
-            into += np.bincount((a[:, None] * DIM + place[b]).ravel(), sign[b].ravel(), WORDS * DIM)
+    every, first = buckets(texts)
+    owners = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(first))
+    for lo in range(0, len(every), PIECE):
+        token, owner = every[lo : lo + PIECE + REACH], owners[lo : lo + PIECE + REACH]
+        for reach in range(1, REACH + 1):
+            both = np.flatnonzero(owner[reach:] == owner[:-reach])
+            both = both[both < PIECE]
+            left, right = token[both], token[both + reach]
+            for a, b in ((left, right), (right, left)):
+                into += np.bincount((a[:, None] * DIM + place[b]).ravel(), sign[b].ravel(), WORDS * DIM)
+
+
+def packed(total: np.ndarray) -> bytes:
+    """Whole numbers as 32 bits each if all fit, else 64."""
+    return total.astype(np.int32 if np.abs(total).max(initial=0) < 1 << 31 else np.int64).tobytes()
+
+
+def unpacked(sums: bytes) -> np.ndarray:
+    size = WORDS * DIM // BLOCKS
+    return np.frombuffer(sums, np.int32 if len(sums) == 4 * size else np.int64)
 
 
 def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
@@ -66,22 +81,23 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
             for i, j in chunks(texts):
                 accumulate(texts[i:j], total, place, sign)
         part = TaskContext.get().partitionId() % SPREAD
-        blocks = total.astype(np.float32).reshape(BLOCKS, -1)
+        blocks = total.reshape(BLOCKS, -1)
         at = np.flatnonzero(blocks.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(np.full(len(at), part, np.int32)), pa.array([blocks[k].tobytes() for k in at], pa.binary())], names=["block", "part", "sums"])
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(np.full(len(at), part, np.int32)), pa.array([packed(blocks[k]) for k in at], pa.binary())], names=["block", "part", "sums"])
+        release_memory()
 
     def add(rows: pa.Table) -> pa.Table:
-        total = np.zeros(WORDS * DIM // BLOCKS)
+        total = np.zeros(WORDS * DIM // BLOCKS, dtype=np.int64)
         for x in rows.column("sums").to_pylist():
-            total += np.frombuffer(x, np.float32)
-        return pa.table({"block": rows.column("block")[:1].cast(pa.int32()), "part": rows.column("part")[:1].cast(pa.int32()), "sums": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
+            total += unpacked(x)
+        return pa.table({"block": rows.column("block")[:1].cast(pa.int32()), "part": rows.column("part")[:1].cast(pa.int32()), "sums": pa.array([packed(total)], pa.binary())})
 
     schema = "block int, part int, sums binary"
-    partial = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    partial = docs.select(F.col(quoted(text_col)).cast("string").alias("text")).mapInArrow(run, schema)
     summed = partial.groupBy("block", "part").applyInArrow(add, schema).groupBy("block").applyInArrow(add, schema)
     out = np.zeros((BLOCKS, WORDS * DIM // BLOCKS), dtype=np.float32)
     for r in summed.toLocalIterator():  # BLOCKS rows, WORDS * DIM numbers
-        out[r["block"]] = np.frombuffer(bytes(r["sums"]), np.float32)
+        out[r["block"]] = unpacked(bytes(r["sums"]))
     out = out.reshape(WORDS, DIM)
     return out / np.maximum(1e-9, np.linalg.norm(out, axis=1, keepdims=True))
 
@@ -89,12 +105,15 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 def pool(texts: list[bytes], vectors: np.ndarray) -> np.ndarray:
     """A row of FEATURES for each text."""
     out = np.zeros((len(texts), FEATURES), dtype=np.float32)
-    for i, j in chunks(texts):
+    for i, j in chunks(texts, 4 * PIECE):
         token, first = buckets(texts[i:j])
         n = np.diff(first)
         some = np.flatnonzero(n)
         if not len(some):
             continue
+        if len(token) > 4 * PIECE:  # one long text
+            out[i] = pool_long(token, vectors)
+            continue
         v = vectors[token]
         count = n[some, None].astype(np.float32)
         mean = np.add.reduceat(v, first[:-1][some], axis=0) / count
@@ -102,7 +121,7 @@ def pool(texts: list[bytes], vectors: np.ndarray) -> np.ndarray:
         owner = np.repeat(np.arange(j - i), n)
         again = np.append(False, (token[1:] == token[:-1]) & (owner[1:] == owner[:-1]))
         fresh = np.zeros(len(token), dtype=bool)
-        fresh[np.unique(owner * WORDS + token, return_index=True)[1]] = True
+        fresh[np.unique(owner.astype(np.int64) * WORDS + token, return_index=True)[1]] = True
         out[i + some, :DIM], out[i + some, DIM : 2 * DIM] = mean, spread
         out[i + some, 2 * DIM] = np.add.reduceat(again, first[:-1][some], dtype=np.float32) / count[:, 0]
         out[i + some, 2 * DIM + 1] = np.add.reduceat(fresh, first[:-1][some], dtype=np.float32) / np.sqrt(count[:, 0])
@@ -110,6 +129,18 @@ def pool(texts: list[bytes], vectors: np.ndarray) -> np.ndarray:
     return out
 
 
+def pool_long(token: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """As ``pool``, for the tokens of one text."""
+    n, total, squares = len(token), np.zeros(DIM), np.zeros(DIM)
+    for lo in range(0, n, PIECE):
+        v = vectors[token[lo : lo + PIECE]]
+        total += v.sum(axis=0, dtype=np.float64)
+        squares += (v * v).sum(axis=0, dtype=np.float64)
+    mean = total / n
+    again, fresh = np.count_nonzero(token[1:] == token[:-1]), np.count_nonzero(np.bincount(token, minlength=WORDS))
+    return np.concatenate([mean, np.sqrt(np.maximum(0, squares / n - mean * mean)), [again / n, fresh / np.sqrt(n), np.log1p(n)]])
+
+
 class Network:
     """tanh layer and logit over standardised features; probabilities at a temperature."""
 

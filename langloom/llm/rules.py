@@ -6,7 +6,8 @@ probability is calibrated on a fifth of them, and texts are scored in Arrow batc
 threshold.
 
 Null and empty texts have no words and fail the base rule. Without labels of both kinds the verdict
-is the base rules' alone. Repeated rows are scored alike.
+is the base rules' alone. Repeated rows are scored alike. Kept columns may have any names (see ``common``). A very long text
+costs its words as Python objects.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from langloom.llm.common import as_bytes, map_texts, table
+from langloom.llm.common import as_bytes, map_texts, quoted, table
 
 SPACE = b" \t\n\x0b\x0c\r"
 GONE = SPACE + bytes(range(0x80, 0xC0))  # with it, bytes left are code points of words
@@ -78,9 +79,12 @@ def grams(text: bytes) -> np.ndarray:
     """A bucket for each 4-byte n-gram."""
     if len(text) < 4:
         return np.zeros(0, dtype=np.uint32)
-    a = np.frombuffer(text, dtype=np.uint8).astype(np.uint32)
-    key = a[:-3] | (a[1:-2] << np.uint32(8)) | (a[2:-1] << np.uint32(16)) | (a[3:] << np.uint32(24))
-    return (key * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)
+    key = np.zeros(len(text) - 3, dtype=np.uint32)
+    for k in range(4):
+        key |= np.frombuffer(text, dtype=np.uint8)[k : k + len(key)].astype(np.uint32) << np.uint32(8 * k)
+    key *= np.uint32(0x9E3779B1)
+    key >>= np.uint32(32 - BITS)
+    return key
 
 
 def word_marks(words: list[bytes]) -> np.ndarray:
@@ -110,7 +114,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, text_col:
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
     known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("__label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)  # bounded, so that it can be broadcast
-    return docs.select("doc_id", F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id")
+    return docs.select("doc_id", F.col(quoted(text_col)).cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
 
 
 def _features(batches):

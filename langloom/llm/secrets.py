@@ -9,8 +9,8 @@ The index holds the postings of the trigrams that some rule's query names (no ot
 a sorted list of documents in segments of ``SEGMENT`` ids, so that no posting list meets in one task.
 
 Spans are code points, end exclusive. Null and empty texts have none. Repeated rows each get their spans. Rows
-with a null doc_id are found too, as candidates of every rule. Input columns other than doc_id and the text are
-not needed; with ``redact`` they are kept.
+with a null doc_id are found too, as candidates of every rule. Kept columns may have any names (see ``common``). A very
+long text is one string to the JVM's regular expressions, and costs its matches beside itself.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from re import _parser as sre_parse
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from langloom.llm.common import Workspace, quoted, table
+from langloom.llm.common import Workspace, beside, numbered, quoted, table
 
 SEGMENT = 4096
 #: Candidates are broadcast up to so many rows (a doc_id and a rule mask each), else both sides are shuffled.
@@ -112,14 +112,14 @@ def trigram_query(pattern: str) -> list[list[list[str]]]:
     return query
 
 
-def build_index(docs: DataFrame, trigrams: list[str], text_col: str = "text") -> DataFrame:
+def build_index(docs: DataFrame, trigrams: list[str], text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(trigram, segment, docs): the inverted index of ``trigrams`` over every text.
 
     A row of ``docs`` is known by its doc_id; repeated ids share a posting.
     """
     folded = F.lower(F.col(quoted(text_col)).cast("string"))  # maps more than A-Z, which can only add candidates
     present = F.array_compact(F.array(*[F.when(F.contains("__folded", F.lit(t)), F.lit(t)) for t in trigrams]))
-    seen = docs.where(F.col("doc_id").isNotNull()).select("doc_id", folded.alias("__folded"))
+    seen = docs.where(F.col(quoted(id_col)).isNotNull()).select(F.col(quoted(id_col)).alias("doc_id"), folded.alias("__folded"))
     postings = seen.select("doc_id", F.explode(present).alias("trigram"))
     segment = F.floor(F.col("doc_id") / SEGMENT)
     return postings.groupBy("trigram", segment.alias("segment")).agg(F.sort_array(F.collect_set("doc_id")).alias("docs"))
@@ -168,17 +168,17 @@ def _spans(text: Column, rule: Rule) -> Column:
     return F.aggregate(rows, start, step)["out"]
 
 
-def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns (all by default) plus ``spans_<kind>`` array<struct<start,end>> for each rule."""
+def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text", keep: list[str] | None = None, id_col: str = "doc_id") -> DataFrame:
+    """``keep`` columns (all by default; a null text as an empty one) plus ``spans_<kind>`` array<struct<start,end>> for each rule."""
     spark = docs.sparkSession
     work = Workspace(spark, "secrets")
     queries = [trigram_query(r.pattern) for r in rules]
     needed = sorted({t for q in queries for part in q for way in part for t in way})
-    made = {f"spans_{r.kind}" for r in rules}
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in made]
-    rows = docs.select(*[F.col(quoted(c)) for c in keep if c != text_col], F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit("")).alias("__text"), F.col("doc_id").alias("__id"))
+    keep = docs.columns if keep is None else keep
+    names = beside(keep, [f"spans_{r.kind}" for r in rules])
+    rows = docs.select(*[F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(keep) if c != text_col], F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit("")).alias("__text"), F.col(quoted(id_col)).alias("__id"))
     if needed:
-        index = work.keep(build_index(docs, needed, text_col), "index")
+        index = work.keep(build_index(docs, needed, text_col, id_col), "index")
         candidates = work.keep(search(index, rules), "candidates")
         few = candidates.count() <= BROADCAST_ROWS
         found = candidates.select(F.col("doc_id").alias("__c"), F.col("rules").alias("__r"))
@@ -186,7 +186,7 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str
     else:
         rows = rows.withColumn("__r", F.lit(0).cast("long"))
     none = F.array().cast("array<struct<start:int,end:int>>")
-    out = [F.col(quoted(c)) if c != text_col else F.col("__text").alias(text_col) for c in keep]
+    out = [F.col(f"c{i}" if c != text_col else "__text").alias(n) for i, (c, n) in enumerate(zip(keep, names, strict=True))]
     for i, (rule, query) in enumerate(zip(rules, queries, strict=True)):
         text = F.col("__text")
         maybe = F.expr(f"__id IS NULL OR (coalesce(__r, 0L) & {1 << i}L) <> 0") if query else F.lit(True)
@@ -204,11 +204,12 @@ def listed(kinds: list[str]) -> Column:
     return F.array_join(F.transform(F.array_sort(every), lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text", mask: str = "[SECRET]") -> DataFrame:
+def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text", mask: str = "[SECRET]", id_col: str = "doc_id") -> DataFrame:
     """``docs`` with every span of a rule replaced by ``mask``; spans that overlap get one. Null texts stay null."""
-    found = find_secrets(docs.withColumn("__null", F.col(quoted(text_col)).isNull()), rules, text_col)
+    frame, own = numbered(docs, {"text": text_col, "doc_id": id_col})
+    found = find_secrets(frame.withColumn("none", F.col("text").isNull()), rules)
     every = F.array_sort(F.concat(*[F.col(f"spans_{r.kind}") for r in rules]))
-    text, start = F.col(quoted(text_col)), F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    text, start = F.col("text"), F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
         over = s["start"] < acc["at"]
@@ -216,9 +217,9 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "te
         grown = F.when(over, acc["out"]).otherwise(F.concat(acc["out"], F.array(piece, F.lit(mask))))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), grown.alias("out"))
 
-    done = F.aggregate(F.col("__every"), start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.length(text))))
-    clean = F.when(F.col("__null"), F.lit(None)).when(F.size("__every") > 0, done).otherwise(text)
-    return found.withColumn("__every", every).select(*[clean.alias(c) if c == text_col else F.col(quoted(c)) for c in docs.columns])
+    done = F.aggregate(F.col("every"), start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.length(text))))
+    clean = F.when(F.col("none"), F.lit(None)).when(F.size("every") > 0, done).otherwise(text)
+    return found.withColumn("every", every).select(*[clean.alias(c) if c == text_col else o for c, o in zip(docs.columns, own, strict=True)])
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

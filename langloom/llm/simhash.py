@@ -12,7 +12,8 @@ variant space, so that shuffle files of one round at most are on disk. Only dist
 links leave a task.
 
 Null and empty texts have fingerprint zero and are linked like any other. Repeated rows share their
-fingerprint. A null doc_id is never the name of a component unless no other is there.
+fingerprint. A null doc_id is never the name of a component unless no other is there. A very long text is hashed
+``PIECE`` shingles at a time. Columns of ``deduplicate`` may have any names and come back unchanged.
 """
 
 from __future__ import annotations
@@ -26,42 +27,51 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from langloom.llm.common import Workspace, as_bytes, connected_components, map_texts, quoted, table
+from langloom.llm.common import Workspace, as_bytes, connected_components, map_texts, numbered, table
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
+PIECE = 1 << 16  # shingles hashed at once: a long text costs little more than itself
 CHUNK = 512  # fingerprints whose variants are made at once
 BUCKET_ROWS = 1_000_000  # variants that meet in one task's memory
-ROUND_BYTES, MOST_ROUNDS = 64 << 20, 8
+#: A round's variants take ROUND_BYTES, or more so that there are FEW_ROUNDS, up to CORE_BYTES a core of the cluster.
+ROUND_BYTES, FEW_ROUNDS, CORE_BYTES = 64 << 20, 8, 1 << 30
 MIX = np.uint64(0x9E3779B97F4A7C15)
 SIMILARITY, BANDS, BAND_ROWS = 0.8, 25, 5
 TURNS = np.random.default_rng(SEED).integers(0, 2**64, BANDS * BAND_ROWS, dtype=np.uint64) | np.uint64(1)  # one order of the hashes each
-PAIRS_A_COPY, BROADCAST_ROWS = 256, 500_000
+PAIRS_A_COPY, BROADCAST_ROWS, MOST_PIVOTS = 256, 500_000, 256
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    """Bit i is set if it is in over half the hashes of the text's shingles, repeats included."""
+def shingle_hashes(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """The hashes of a text's shingles, repeats included; of the whole sequence if it is shorter than one."""
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     line = b" ".join(words)
-    if len(words) <= shingle:
-        return xxh64_intdigest(line, SEED)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    n = len(words) - shingle + 1
+    n, size = max(1, len(words) - shingle + 1), min(shingle, len(words))
+    del words
+    out = np.empty(n, dtype="<u8")
+    for i in range(0, n, PIECE):
+        j = min(n, i + PIECE)
+        starts = ends[i - 1 : j - 1] + 1 if i else np.append(0, ends[: j - 1] + 1)
+        cut = zip(starts.tolist(), ends[i + size - 1 : j + size - 1].tolist(), strict=True)
+        out[i:j] = np.fromiter((xxh64_intdigest(line[a:b], SEED) for a, b in cut), np.uint64, j - i)
+    return out
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint as a signed number: bit i is set if it is in over half the hashes."""
     total = np.zeros(64, dtype=np.int64)
-    for i in range(0, n, 1 << 16):
-        cut = zip(starts[i : min(n, i + (1 << 16))].tolist(), ends[i + shingle - 1 : min(n, i + (1 << 16)) + shingle - 1].tolist(), strict=True)
-        hashes = np.array([xxh64_intdigest(line[a:b], SEED) for a, b in cut], dtype="<u8")
-        total += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
-    return int(np.packbits(total * 2 > n, bitorder="little").view("<u8")[0])
+    for i in range(0, len(hashes), PIECE):
+        total += np.unpackbits(hashes[i : i + PIECE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
+    return int(np.packbits(total * 2 > len(hashes), bitorder="little").view("<i8")[0])
 
 
 def fingerprints(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, shingle: int = SHINGLE) -> DataFrame:
     """``keep`` columns plus ``fp``, the fingerprint as a signed long."""
 
     def start():
-        return lambda texts: [pa.array(np.array([fingerprint(t, shingle) for t in as_bytes(texts)], dtype=np.uint64).view(np.int64))]
+        return lambda texts: [pa.array(np.array([majority(shingle_hashes(t, shingle)) for t in as_bytes(texts)], dtype=np.int64))]
 
     return map_texts(docs, text_col, docs.columns if keep is None else keep, [T.StructField("fp", T.LongType(), False)], start)
 
@@ -129,7 +139,8 @@ def links(work: Workspace, fps: DataFrame, radius: int = RADIUS) -> DataFrame:
         raise ValueError("radius is 0, 2 or 4")
     half, n = radius // 2, fps.count()
     emitted = n * len(masks(half))
-    rounds = min(MOST_ROUNDS, max(1, -(-emitted * 10 // ROUND_BYTES)))
+    cores = max(1, fps.sparkSession.sparkContext.defaultParallelism)
+    rounds = max(1, min(FEW_ROUNDS, -(-emitted * 10 // ROUND_BYTES)), -(-emitted * 10 // (cores * CORE_BYTES)))
     buckets = max(1, -(-emitted // rounds // BUCKET_ROWS))
     for turn in range(rounds):
         spread = fps.select("fp").repartition(max(1, -(-n // (4 * CHUNK))), "fp")
@@ -140,7 +151,7 @@ def links(work: Workspace, fps: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """(doc_id, fp, component_id) for each row of ``docs``; component_id is the smallest doc_id reachable."""
+    """(doc_id, fp, component_id) for each row of ``docs``; component_id is the smallest doc_id reachable. No other column is read."""
     spark = docs.sparkSession
     work = Workspace(spark, "simhash")
     marked = work.keep(fingerprints(docs, text_col, ["doc_id"], shingle), "marked")
@@ -152,18 +163,6 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", shingle: int = SHIN
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
-    """The hashes that ``fingerprint`` sums, one for each shingle, repeats included."""
-    words = text.lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    line = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    cut = zip(starts[: max(1, len(words) - shingle + 1)].tolist(), ends[min(shingle, len(words)) - 1 :].tolist(), strict=True)
-    return np.array([xxh64_intdigest(line[a:b], SEED) for a, b in cut], dtype="<u8")
-
-
 def bands(grams: np.ndarray) -> list[int]:
     """Band hashes of the set's minimum hashes: two sets of Jaccard 0.8 share none of them once in 20,000 pairs."""
     if not len(grams):
@@ -175,30 +174,27 @@ def bands(grams: np.ndarray) -> list[int]:
     return np.array([xxh64_intdigest(r.tobytes(), i) for i, r in enumerate(rows)], dtype=np.uint64).view(np.int64).tolist()
 
 
-def profiles(docs: DataFrame, text_col: str, shingle: int) -> DataFrame:
-    """``docs`` plus __fp (the fingerprint), __set (a name of the set of shingles) and __bands (none for a text without words)."""
+def profiles(docs: DataFrame, shingle: int) -> DataFrame:
+    """``docs`` plus fp (the fingerprint), grams (a name of the set of shingles) and bands (none for a text without words) of column ``text``."""
 
     def start():
         def work(texts: pa.Array) -> list[pa.Array]:
             prints, names, hashed = [], [], []
             for text in as_bytes(texts):
                 every = shingle_hashes(text, shingle)
-                total = np.zeros(64, dtype=np.int64)
-                for i in range(0, len(every), 1 << 16):
-                    total += np.unpackbits(every[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
-                grams = np.unique(every)
-                prints.append(np.packbits(total * 2 > len(every), bitorder="little").view("<i8")[0])
-                names.append(xxh64_intdigest(grams.tobytes(), SEED))
-                hashed.append(bands(grams))
+                prints.append(majority(every))
+                every = np.unique(every)
+                names.append(xxh64_intdigest(every.tobytes(), SEED))
+                hashed.append(bands(every))
             return [pa.array(np.array(prints, dtype=np.int64)), pa.array(np.array(names, dtype=np.uint64).view(np.int64)), pa.array(hashed, pa.list_(pa.int64()))]
 
         return work
 
-    fields = [T.StructField("__fp", T.LongType(), False), T.StructField("__set", T.LongType(), False), T.StructField("__bands", T.ArrayType(T.LongType()), False)]
-    return map_texts(docs, text_col, docs.columns, fields, start)
+    fields = [T.StructField("fp", T.LongType(), False), T.StructField("grams", T.LongType(), False), T.StructField("bands", T.ArrayType(T.LongType()), False)]
+    return map_texts(docs, "text", docs.columns, fields, start)
 
 
-def _verified(work: Workspace, pairs: DataFrame, marked: DataFrame, text_col: str, shingle: int, similarity: float, name: str) -> DataFrame:
+def _verified(work: Workspace, pairs: DataFrame, marked: DataFrame, shingle: int, similarity: float, name: str) -> DataFrame:
     """Those of ``pairs`` (a, b) of sets whose Jaccard similarity is ``similarity`` or more, from the whole sets.
 
     A set that is compared to many others is copied, one copy for ``PAIRS_A_COPY`` of them, so no task gets all its pairs.
@@ -207,74 +203,83 @@ def _verified(work: Workspace, pairs: DataFrame, marked: DataFrame, text_col: st
     def start():
         return lambda texts: [pa.array([np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in as_bytes(texts)], pa.list_(pa.int64()))]
 
-    need = work.keep(pairs.selectExpr("a AS __set").union(pairs.selectExpr("b AS __set")).distinct(), f"{name}_need")
+    need = work.keep(pairs.selectExpr("a AS grams").union(pairs.selectExpr("b AS grams")).distinct(), f"{name}_need")
     wanted = F.broadcast(need) if need.count() <= BROADCAST_ROWS else need
-    one = marked.select("__set", F.col(quoted(text_col)).cast("string").alias("__t")).join(wanted, "__set", "left_semi").dropDuplicates(["__set"])
-    grams = work.keep(map_texts(one, "__t", ["__set"], [T.StructField("grams", T.ArrayType(T.LongType()), False)], start), f"{name}_grams")
+    one = marked.select("grams", "text").join(wanted, "grams", "left_semi").dropDuplicates(["grams"])
+    sets = work.keep(map_texts(one, "text", ["grams"], [T.StructField("members", T.ArrayType(T.LongType()), False)], start), f"{name}_sets")
     hot = work.keep(pairs.groupBy("a").count().where(F.col("count") > PAIRS_A_COPY).select("a", F.ceil(F.col("count") / PAIRS_A_COPY).cast("int").alias("copies")), f"{name}_hot")
+    hot = F.broadcast(hot) if hot.count() <= BROADCAST_ROWS else hot
     copies = F.coalesce("copies", F.lit(1))
-    left = grams.selectExpr("__set AS a", "grams AS ga").join(F.broadcast(hot), "a", "left").select("a", "ga", F.explode(F.sequence(F.lit(0), copies - 1)).alias("copy"))
-    asked = pairs.join(F.broadcast(hot), "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), copies).cast("int").alias("copy"))
-    both = asked.join(left, ["a", "copy"]).join(grams.selectExpr("__set AS b", "grams AS gb"), "b")
-    common = both.select("a", "b", F.size("ga").alias("na"), F.size("gb").alias("nb"), F.size(F.array_intersect("ga", "gb")).alias("n"))
-    return work.keep(common.where(F.col("n") >= similarity * (F.col("na") + F.col("nb") - F.col("n"))).select("a", "b"), f"{name}_found")
+    left = sets.selectExpr("grams AS a", "members AS ma").join(hot, "a", "left").select("a", "ma", F.explode(F.sequence(F.lit(0), copies - 1)).alias("copy"))
+    asked = pairs.join(hot, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), copies).cast("int").alias("copy"))
+    both = asked.join(left, ["a", "copy"]).join(sets.selectExpr("grams AS b", "members AS mb"), "b")
+    common = both.select("a", "b", F.size("ma").alias("na"), F.size("mb").alias("nb"), F.size(F.array_intersect("ma", "mb")).alias("n"))
+    found = work.keep(common.where(F.col("n") >= similarity * (F.col("na") + F.col("nb") - F.col("n"))).select("a", "b"), f"{name}_found")
+    for done in ("need", "sets", "hot"):
+        work.drop(f"{name}_{done}")
+    return found
 
 
-def _components(work: Workspace, marked: DataFrame, near: DataFrame, text_col: str, shingle: int, similarity: float) -> DataFrame:
+def _components(work: Workspace, marked: DataFrame, near: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """(node, component) over fingerprints: links ``near``, and any pair of texts of Jaccard ``similarity`` or more.
 
-    Sets that share a band are candidates. Each is first compared to the smallest of its bucket; then all pairs of a
-    bucket that are not of one component by then are compared as well.
+    Sets that share a band are candidates, bucket by bucket. Each turn compares all sets of a bucket that aren't yet of one
+    component to its pivots, the smallest sets of as many parts of the bucket as the turn allows, and then leaves the pivots
+    out; a bucket is done when what is left of it is of one component. So a turn makes rows in proportion to the buckets'
+    sizes, and no pair of different components is missed.
     """
-    sets = work.keep(marked.where("size(__bands) > 0").groupBy("__set").agg(F.min("__fp").alias("fp"), F.first("__bands").alias("bands")), "sets")
-    prints = sets.select("__set", "fp")
-    same = marked.where("size(__bands) > 0").select("__set", "__fp").distinct().join(prints, "__set").where("fp <> __fp").selectExpr("fp AS a", "__fp AS b")
-    rows = work.keep(sets.select("__set", F.explode("bands").alias("bucket")), "bands")
-    shared = rows.groupBy("bucket").agg(F.min("__set").alias("low"), F.max("__set").alias("high")).where("low <> high").select("bucket", "low")
-    hits = work.keep(rows.join(shared, "bucket"), "hits")
+    sets = work.keep(marked.where("size(bands) > 0").groupBy("grams").agg(F.min("fp").alias("fp"), F.first("bands").alias("bands")), "sets")
+    prints = sets.select("grams", "fp")
+    same = marked.where("size(bands) > 0").select("grams", F.col("fp").alias("other")).distinct().join(prints, "grams").where("fp <> other").selectExpr("fp AS a", "other AS b")
+    edges = work.keep(near.union(same), "edges")
+    rows = work.keep(sets.select("grams", F.explode("bands").alias("bucket")), "bands")
+    shared = rows.groupBy("bucket").agg(F.min("grams").alias("low"), F.max("grams").alias("high")).where("low <> high").select("bucket")
+    left = work.keep(rows.join(shared, "bucket").select("bucket", "grams", F.lit(None).cast("long").alias("c")), "left0")
     work.drop("bands")
-    first = work.keep(hits.where("__set <> low").selectExpr("low AS a", "__set AS b").distinct(), "first")
-    a, b = prints.selectExpr("__set AS a", "fp AS fa"), prints.selectExpr("__set AS b", "fp AS fb")
-    by_print = lambda found: found.join(a, "a").join(b, "b").where("fa <> fb").selectExpr("fa AS a", "fb AS b")
-    edges = work.keep(near.union(same).union(by_print(_verified(work, first, marked, text_col, shingle, similarity, "first"))), "edges")
-    done = work.keep(connected_components(work, edges), "components")
-    named = work.keep(prints.join(done, prints["fp"] == done["node"], "left").select("__set", F.coalesce("component", "fp").alias("c")), "set_components")
-    placed = work.keep(hits.select("bucket", "__set").join(named, "__set"), "placed")
-    mixed = placed.groupBy("bucket").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("bucket")
-    open_ = work.keep(placed.join(mixed, "bucket", "left_semi"), "mixed")
-    cross = open_.selectExpr("bucket", "__set AS a", "c AS ca").join(open_.selectExpr("bucket", "__set AS b", "c AS cb"), "bucket").where("a < b AND ca <> cb").select("a", "b")
-    second = work.keep(cross.distinct().join(first, ["a", "b"], "left_anti"), "second")
-    if second.isEmpty():
-        return done
-    more = by_print(_verified(work, second, marked, text_col, shingle, similarity, "second"))
-    if more.isEmpty():
-        return done
-    return connected_components(work, work.keep(edges.union(more), "all_edges"))
-
-
-def deduplicate(docs: DataFrame, text_col: str = "text", shingle: int = 5, radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component, the one with the smallest doc_id, once.
+    a, b = prints.selectExpr("grams AS a", "fp AS fa"), prints.selectExpr("grams AS b", "fp AS fb")
+    components, turn = None, 0
+    while True:
+        part = F.pmod(F.xxhash64("grams"), F.lit(min(MOST_PIVOTS, 4**turn)))
+        pivots = left.groupBy("bucket", part.alias("part")).agg(F.min("grams").alias("pivot")).drop("part")
+        pivots = work.keep(pivots.join(left.withColumnRenamed("grams", "pivot").withColumnRenamed("c", "pc"), ["bucket", "pivot"]) if turn else pivots.withColumn("pc", F.lit(None).cast("long")), f"pivots{turn}")
+        pairs = left.join(pivots, "bucket").where("grams <> pivot AND (c IS NULL OR c <> pc)").selectExpr("least(pivot, grams) AS a", "greatest(pivot, grams) AS b")
+        found = _verified(work, work.keep(pairs.distinct(), f"pairs{turn}"), marked, shingle, similarity, f"turn{turn}")
+        edges.unionAll(found.join(a, "a").join(b, "b").where("fa <> fb").selectExpr("fa AS a", "fb AS b")).write.mode("overwrite").parquet(work.path(f"edges{turn}"))
+        edges = work.spark.read.schema("a long, b long").parquet(work.path(f"edges{turn}"))
+        if components is None or not found.isEmpty():
+            components = work.keep(connected_components(work, edges), f"components{turn}")
+        named = prints.join(components, prints["fp"] == components["node"], "left").select("grams", F.coalesce("component", "fp").alias("c"))
+        rest = left.drop("c").join(pivots.selectExpr("bucket", "pivot AS grams"), ["bucket", "grams"], "left_anti")
+        placed = work.keep(rest.join(named, "grams").select("bucket", "grams", "c"), f"placed{turn}")
+        mixed = placed.groupBy("bucket").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("bucket")
+        turn += 1
+        left = work.keep(placed.join(mixed, "bucket", "left_semi"), f"left{turn}")
+        for done in ("left", "pivots", "pairs", "placed"):
+            work.drop(f"{done}{turn - 1}")
+        if left.isEmpty():
+            return components
+
+
+def deduplicate(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = 5, radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of ``docs`` that stay, as they are: one of each component, that with the smallest doc_id.
 
     Linked are fingerprints within ``radius`` bits, and texts whose sets of shingles have a Jaccard similarity of
-    ``similarity`` or more. Rows without doc_id can't be told apart by it; each stays unless its component has a row with one.
-    A doc_id of several components stays once in each.
+    ``similarity`` or more. A null doc_id comes after all others. Of rows of a component with one doc_id the one whose text
+    has the smallest hash stays, of equal texts the first as read. A doc_id with texts of several components stays once for each.
     """
     work = Workspace(docs.sparkSession, "simhash")
-    marked = work.keep(profiles(docs, text_col, shingle), "marked")
-    distinct = work.keep(marked.groupBy(F.col("__fp").alias("fp")).agg(F.min("doc_id").alias("low")), "distinct")
-    joined = _components(work, marked, links(work, distinct, radius), text_col, shingle, similarity)
-    named = distinct.join(joined, distinct.fp == joined.node, "left").select("fp", "low", F.coalesce("component", "fp").alias("c"))
-    named = work.keep(named.join(named.groupBy("c").agg(F.min("low").alias("component_id")), "c").select("fp", "c", "component_id"), "named")
-    found = marked.select("doc_id", "__fp").join(named, F.col("__fp") == named["fp"])
-    # written before distinct(): Spark can then split the join's hot fingerprints, whose rows no sum needs together
-    gone = work.keep(found.where("doc_id <> component_id OR (doc_id IS NULL AND component_id IS NOT NULL)").select("doc_id", "fp"), "gone").distinct()
-    left = marked.join(gone, marked["doc_id"].eqNullSafe(gone["doc_id"]) & (marked["__fp"] == gone["fp"]), "left_anti")
-    again = marked.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
-    columns = [quoted(c) for c in docs.columns]
-    if again.isEmpty():
-        return left.select(*columns)
-    known = left.where("doc_id IS NOT NULL").join(named.select("fp", F.col("c").alias("__c")), F.col("__fp") == F.col("fp"))
-    return known.dropDuplicates(["doc_id", "__c"]).select(*[known[c] for c in columns]).unionByName(left.where("doc_id IS NULL").select(*columns))
+    frame, own = numbered(docs, {"text": text_col, "id": id_col})
+    frame = frame.withColumn("row", F.monotonically_increasing_id())
+    marked = work.keep(profiles(frame, shingle), "marked")
+    order = F.struct(F.col("id").isNull().alias("none"), "id", F.xxhash64("text").alias("hash"), "row")
+    distinct = work.keep(marked.select("fp", order.alias("o")).groupBy("fp").agg(F.min("o").alias("first")), "distinct")
+    joined = _components(work, marked, links(work, distinct, radius), shingle, similarity)
+    named = distinct.join(joined, distinct.fp == joined.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("c"))
+    stays = named.groupBy("c").agg(F.min("first").alias("first")).select("c", F.col("first")["row"].alias("stays"))
+    named = work.keep(named.join(stays, "c").select("fp", "stays"), "named")
+    # written before it is joined: Spark can then split this join's hot fingerprints, whose rows nothing needs together
+    gone = work.keep(marked.select("row", "fp").join(named, "fp").where("row <> stays").select("row"), "gone")
+    return marked.join(gone, "row", "left_anti").select(*own)
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

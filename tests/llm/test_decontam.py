@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 from langloom.llm import decontam
@@ -34,17 +35,50 @@ def test_whole_table(spark, sf_dir):
         assert r.items_sha256 == hashlib.sha256(",".join(found).encode()).hexdigest()
 
 
-def test_odd_rows_passes_and_blocks(spark, odd, odd_rows, empty, monkeypatch):
-    items = [(1, "ONE"), (2, None), (3, ""), (4, "- -"), (5, "long, long; LONG"), (None, "été naïve"), (6, odd_rows[25][1]), (6, odd_rows[25][1]), (7, odd_rows[40][1])]
+def test_odd_rows_and_passes(spark, odd, odd_rows, empty, monkeypatch):
+    items = [(1, "ONE"), (2, None), (3, ""), (4, "- -"), (5, "long, long; LONG"), (None, "été naïve"), (6, odd_rows[25][1]), (6, odd_rows[25][1]), (7, odd_rows[40][1]), (8, "long " * 11)]
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = sorted((str(r[0]), *brute(r[1], items)) for r in odd_rows if r[0] != 81)
-    for size in (500_000, 10):
-        monkeypatch.setattr(decontam, "BLOCK_BYTES", size)
-        monkeypatch.setattr(decontam, "PASS_BYTES", size * 32)
+    long = (30000, 30000, ["5", "8"])
+    for passes in (64 << 20, 400):
+        monkeypatch.setattr(decontam, "PASS_BYTES", passes)
         rows = decontam.find_leaks(odd, bench).collect()
         assert sorted((str(r.doc_id), r.n_words, r.n_hit, r.hit_items) for r in rows if r.doc_id != 81) == want
+        assert [(r.n_words, r.n_hit, r.hit_items) for r in rows if r.doc_id == 81] == [long]
         for r in rows:
             cut = [w for s in r.hit_spans for w in words(r.text[s.start : s.end])]
             assert len(cut) == r.n_hit
     assert decontam.find_leaks(empty, bench).count() == 0
     assert all(r.n_hit == 0 for r in decontam.find_leaks(odd, bench.limit(0)).collect())
+
+
+def test_automaton_of_the_windows_at_hand(monkeypatch):
+    for whole in (100, 0):
+        monkeypatch.setattr(decontam, "WHOLE_WINDOWS", whole)
+        windows_at_hand()
+
+
+def windows_at_hand():
+    items = [("a", b"one two three four"), ("b", b"two three four five"), (None, b"two"), ("a", b"one two three four"), ("c", b"")]
+    small = decontam.Benchmark(items, 3)
+    assert small.widths == [1, 3] and len(small.hashes) == 7
+    for text in (b"zero one two three", b"two", b"three four five six", b"none"):
+        ranges, found = [[]], [set()]
+        decontam._scan([text], small, ranges, found)
+        n, hit, names = brute(text.decode(), [(n, t.decode()) for n, t in items], 3)
+        assert sum(b - a for a, b in decontam.merge(ranges[0])) == hit and sorted(x for x in found[0] if x) == names
+
+
+def test_a_large_benchmark_and_a_long_text(spark, tmp_path):
+    """20 MB of items, a text of 8 MB: what the driver gathers is bounded by the pass."""
+    rng = random.Random(3)
+    vocabulary = [f"word{i}" for i in range(50_000)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=400))) for i in range(6000)]
+    docs = [(i, " ".join(rng.choices(vocabulary, k=60)) + " " + " ".join(items[i * 7][1].split()[30 : 30 + i]) + " tail") for i in range(20)]
+    docs.append((99, " ".join(rng.choices(vocabulary, k=1_000_000)) + " " + items[5][1]))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/b")
+    bench = spark.read.parquet(f"{tmp_path}/b")
+    rows = {r.doc_id: r for r in decontam.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench, keep=["doc_id"]).collect()}
+    for i in range(20):
+        assert (rows[i].n_hit, rows[i].hit_items) == ((i, [str(i * 7)]) if i >= 10 else (0, []))
+    assert (rows[99].n_words, rows[99].n_hit, rows[99].hit_items) == (1_000_400, 400, ["5"])

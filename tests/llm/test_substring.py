@@ -42,7 +42,8 @@ def test_planted_passages_runs_and_odd_rows(spark, odd_rows, tmp_path):
     rng = random.Random(11)
     text = lambda n, words=400: " ".join(f"w{rng.randrange(words)}" for _ in range(n))
     passages = [text(n) for n in (49, 50, 51, 60, 75, 130)] + ["a " * 70, "a b " * 60, "x y z " * 30 + "q " * 55, text(200, 2), text(120, 3)]
-    rows = [(r[0], r[1]) for r in odd_rows if r[0] != 81]
+    rows = [(r[0], r[1]) for r in odd_rows]
+    rows.append((79, "intro " + "long " * 70))
     for i in range(150):
         parts = [text(rng.randrange(0, 120)) for _ in range(3)]
         parts.insert(rng.randrange(4), rng.choice(passages))
@@ -78,8 +79,28 @@ def test_symbols_inside_a_window_are_the_same_wherever_it_occurs():
 
 
 def test_window_names():
-    words = np.arange(1, 400, dtype=np.uint64) % np.uint64(90)
-    a, b = substring.window_names(words)
-    assert len(a) == 350
-    keys = [tuple(words[i : i + 50].tolist()) for i in range(350)]
-    assert len(set(keys)) == len(set(a.tolist())) == len(set(b.tolist())) == len(set(zip(keys, a.tolist(), strict=True)))
+    words = [f"w{i * i % 90}".encode() for i in range(400)]
+    at = np.arange(351)
+    names = [tuple(x) for x in substring.window_names(words, at).tolist()]
+    keys = [tuple(words[i : i + 50]) for i in range(351)]
+    assert len(set(keys)) == len(set(names)) == len(set(zip(keys, names, strict=True)))
+    assert names[7:9] == [tuple(x) for x in substring.window_names(words[3:], np.array([4, 5])).tolist()]
+    assert names[0] == tuple(np.frombuffer(hashlib.blake2b(b" ".join(words[:50]), digest_size=16).digest(), np.int64).tolist())
+
+
+def test_words_whose_hashes_collide_are_different(spark, tmp_path):
+    """Thue-Morse words: polynomial hashes modulo 2**64 agree on them, whatever the base."""
+    a = "".join("ab"[i.bit_count() & 1] for i in range(2048))
+    b = a.translate(str.maketrans("ab", "ba"))
+    assert tokenize([a.encode()])[0] == tokenize([b.encode()])[0]
+    frame = [f"w{i}" for i in range(80)]
+    rows = [(i, " ".join([*frame[:40], w, *frame[40:60]])) for i, w in enumerate((a, b, a))]
+    assert run(spark, rows, tmp_path) == brute(rows)
+    assert [x[2] for x in brute(rows)] == [0, 0, 61]
+
+
+def test_columns_of_any_name(spark, odd_rows):
+    rows = [(r[0], r[1], "x", "y") for r in odd_rows]
+    docs = spark.createDataFrame(rows, "`a.b` long, `kept` string, tag string, starts string")
+    got = sorted((str(r["a.b"] if "a.b" in r else r.doc_id), r.n_removed) for r in substring.remove_repeats(docs, "kept", "a.b").collect())
+    assert got == [(x[0], x[2]) for x in sorted(brute([r[:2] for r in rows]))]
