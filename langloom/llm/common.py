@@ -126,15 +126,16 @@ def map_texts(
     text_col: str,
     keep: Sequence[str],
     fields: Sequence[T.StructField],
-    start: Callable[[], Callable[[pa.Array], Sequence[pa.Array]]],
+    start: Callable[[], Callable[..., Sequence[pa.Array]]],
+    also: Column | None = None,
 ) -> DataFrame:
     """``keep`` columns of ``docs`` plus the columns computed from each Arrow batch of texts.
 
-    ``start`` runs once per task and returns the batch function.
+    ``start`` runs once per task and returns the batch function, which gets the texts and the values of ``also`` if given.
     """
     names = beside(keep, [f.name for f in fields])
     own = text_col in keep and docs.schema[text_col].dataType == T.StringType()  # else the text is sent beside them
-    sent = docs.select(*[F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(keep)], *[F.col(quoted(text_col)).cast("string").alias("text")] * (not own))
+    sent = docs.select(*[F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(keep)], *[F.col(quoted(text_col)).cast("string").alias("text")] * (not own), *([] if also is None else [also.alias("also")]))
     n, at = len(keep), list(keep).index(text_col) if own else len(keep)
     schema = T.StructType([T.StructField(name, docs.schema[c].dataType, docs.schema[c].nullable) for name, c in zip(names, keep, strict=True)] + list(fields))
 
@@ -144,7 +145,7 @@ def map_texts(
             work = work or start()
             for i in range(0, batch.num_rows, SLICE_ROWS):  # what a batch makes is held a slice at a time
                 part = batch.slice(i, SLICE_ROWS)
-                yield pa.RecordBatch.from_arrays([part.column(k) for k in range(n)] + list(work(part.column(at))), names=schema.names)
+                yield pa.RecordBatch.from_arrays([part.column(k) for k in range(n)] + list(work(part.column(at), *part.columns[n + (not own) :])), names=schema.names)
         work = None
         release_memory()
 

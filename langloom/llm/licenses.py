@@ -5,14 +5,18 @@ words and pairs of words; a term's weight is its count times its idf over the te
 ``LEAST`` cosine or more names the licence; so does a passage of a template's length inside the line at ``BLOCK_LEAST``,
 and an SPDX line by its first identifier. "All rights reserved" counts where no notice names another licence.
 
-A licence text of many lines, in a file of any name, is compared across its lines to ``TEXTS`` (whole short
-licences, the openings of long ones), and wins over single lines from ``BLOCK_LEAST`` on.
+Licence files are compared whole to the whole texts in ``license_texts`` and to ``TEXTS`` (counts there by their
+logarithm): a file that is one by its name from ``FILE_LEAST`` on, any other text that has a licence's words from ``WHOLE_LEAST``
+on. A licence text of many lines inside a longer one is compared to ``TEXTS`` (short licences, the openings of long ones)
+across its lines, from ``BLOCK_LEAST`` on. The better of the two wins, and both win over single lines.
 
 A file without one takes that of the nearest ancestor directory with a licence file. Directories are made
-distinct before their ancestors are listed, and both joins are on whole paths.
+distinct before their ancestors are listed, and both joins are on whole paths; an ancestor of very many directories is
+joined in several parts.
 
 Null and empty texts have no notice; a file with a null path has no directory and inherits nothing. Ties between
 templates go to the first, between a directory's licence files to the first path. Repeated rows get equal results.
+Kept columns may have any names (see ``common``). A very long text is compared whole as counts of its terms.
 """
 
 from __future__ import annotations
@@ -22,15 +26,18 @@ import re
 from collections import Counter
 from functools import lru_cache
 from itertools import accumulate
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from langloom.llm.common import Workspace, map_texts, table
+from langloom.llm.common import Workspace, beside, map_texts, numbered, quoted, table
 
 LEAST, BLOCK_LEAST, AROUND, REACH = 0.5, 0.75, 15, 400
+FILE_LEAST, WHOLE_LEAST = 0.6, 0.85
+FOLDERS_A_COPY, BROADCAST_ROWS = 10_000, 100_000
 TEMPLATES: tuple[tuple[str, str], ...] = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "you may not use this file except in compliance with the License. distributed on an AS IS basis, without warranties or conditions of any kind"),
@@ -78,7 +85,7 @@ TEXTS: tuple[tuple[str, str], ...] = (
     ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1989, 1991 Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed. Preamble The licenses for most software are designed to take away your freedom to share and change it."),
     ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed. This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below."),
 )
-BLOCK = re.compile(r"redistributions?\s+(?:and|of|in)|permission\s+is\s+hereby|apache\s+license|general\s+public\s+license", re.I)
+BLOCK = re.compile(r"redistributions?\s+(?:and|of|in)|permission\s+(?:is\s+(?:hereby\s+)?granted|is\s+hereby|to\s+use)|apache\s+license|general\s+public\s+license|mozilla\s+public|boost\s+software|documentation\s+license|artistic\s+license|cc0|unencumbered", re.I)
 TRIGGER = re.compile(r"licen[sc]e|copyright|rights\s+reserved|spdx|permission\s+is\s+hereby|redistribut|public\s+domain", re.I)
 TOKEN = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 SPDX = re.compile(r"spdx-license-identifier:[\s(]*([a-z0-9][a-z0-9.+-]*)", re.I)
@@ -143,6 +150,42 @@ class Matcher:
         return (self.names[i] if cos >= LEAST else None), cos
 
 
+class Whole:
+    """Whole texts as sparse unit vectors, by term; counts by their logarithm, as a long text has every common word."""
+
+    def __init__(self, texts: tuple[tuple[str, str], ...]):
+        counts = [terms(t) for _, t in texts]
+        found = Counter(k for c in counts for k in c)
+        self.idf = {k: 1 + math.log((1 + len(counts)) / (1 + n)) for k, n in found.items()}
+        self.unknown = 1 + math.log(1 + len(counts))
+        self.names = [n for n, _ in texts]
+        self.postings: dict[str, list[tuple[int, float]]] = {}
+        for i, c in enumerate(counts):
+            norm = math.sqrt(sum(self.weight(k, n) ** 2 for k, n in c.items()))
+            for k, n in c.items():
+                self.postings.setdefault(k, []).append((i, self.weight(k, n) / norm))
+
+    def weight(self, term: str, n: int) -> float:
+        return (1 + math.log(n)) * self.idf.get(term, self.unknown)
+
+    def best(self, text: str) -> tuple[str | None, float]:
+        c, score, squares = terms(text), [0.0] * len(self.names), 0.0
+        for k, n in c.items():
+            w = self.weight(k, n)
+            squares += w * w
+            for i, v in self.postings.get(k, ()):
+                score[i] += w * v
+        if not squares:
+            return None, 0.0
+        i = max(range(len(score)), key=lambda j: (score[j], -j))
+        return self.names[i], min(1.0, score[i] / math.sqrt(squares))
+
+
+def license_texts() -> tuple[tuple[str, str], ...]:
+    """(name, text) of the whole licences that come with the package; read on the driver."""
+    return tuple((p.stem, p.read_text(encoding="utf-8", errors="replace")) for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt")))
+
+
 def notices(text: str) -> list[tuple[int, int]]:
     """[start, end) of each passage that may be a notice."""
     out: list[tuple[int, int]] = []
@@ -192,29 +235,52 @@ def _matcher(templates: tuple[tuple[str, str], ...]) -> Matcher:
     return Matcher(templates)
 
 
+@lru_cache(maxsize=1)
+def _whole(texts: tuple[tuple[str, str], ...]) -> Whole:
+    return Whole(texts)
+
+
 SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("license", T.StringType()), T.StructField("score", T.DoubleType())])
 
 
-def scan(files: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns plus own_license, own_score and notices (code points); own is the licence text it holds, else the best of the notices."""
+def named_license(path):
+    """Whether a file is a licence file by its name."""
+    return F.coalesce(path.rlike(FILE_NAME.pattern.replace("(?:^|/)", "(?i)(?:^|/)")), F.lit(False))
+
+
+def scan(files: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, text_col: str = "text", keep: list[str] | None = None, path_col: str | None = None) -> DataFrame:
+    """``keep`` columns plus own_license, own_score and notices (code points); own is the licence text it holds, else the best of the notices.
+
+    ``path_col``: where the names of files are, if there is one ("path" is, if the table has it).
+    """
     fields = [T.StructField("own_license", T.StringType()), T.StructField("own_score", T.DoubleType(), False), T.StructField("notices", T.ArrayType(SPAN), False)]
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("license", pa.string()), ("score", pa.float64())]))
+    path_col = path_col or ("path" if "path" in files.columns else None)
+    also = F.lit(False) if path_col is None else named_license(F.col(quoted(path_col)))
+    sent = files.sparkSession.sparkContext.broadcast((*TEXTS, *license_texts()))  # those of the package
 
     def start():
-        matcher, whole = _matcher(templates), _matcher(TEXTS)
-
-        def work(texts: pa.Array) -> list[pa.Array]:
-            rows = []
-            for text in texts.to_pylist():
-                found = [{"start": a, "end": b, "license": n, "score": s} for a, b in notices(text or "") for n, s in [judge(text, a, b, matcher)]]
-                best = max((x for x in found if x["license"]), key=lambda x: (x["license"] != "Proprietary", x["score"], -x["start"]), default=None)
-                name, score = block(text or "", whole)
-                rows.append((name, score, found) if name else (best and best["license"], best["score"] if best else 0.0, found))
+        matcher, parts, whole = _matcher(templates), _matcher(TEXTS), _whole(sent.value)
+
+        def judged(text: str, is_file: bool) -> tuple[str | None, float, list]:
+            found = [{"start": a, "end": b, "license": n, "score": s} for a, b in notices(text) for n, s in [judge(text, a, b, matcher)]]
+            held = BLOCK.search(text)
+            name, score = whole.best(text) if is_file or held else (None, 0.0)
+            inside, least = block(text, parts) if held else (None, 0.0), FILE_LEAST if is_file else WHOLE_LEAST
+            if score >= least and not (inside[0] and inside[1] > score):
+                return name, score, found
+            if inside[0]:
+                return *inside, found
+            best = max((x for x in found if x["license"]), key=lambda x: (x["license"] != "Proprietary", x["score"], -x["start"]), default=None)
+            return best and best["license"], best["score"] if best else 0.0, found
+
+        def work(texts: pa.Array, is_file: pa.Array) -> list[pa.Array]:
+            rows = [judged(t or "", f) for t, f in zip(texts.to_pylist(), is_file.to_pylist(), strict=True)]
             return [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.float64(), span))]
 
         return work
 
-    return map_texts(files, text_col, [c for c in files.columns if c != text_col] if keep is None else keep, fields, start)
+    return map_texts(files, text_col, [c for c in files.columns if c != text_col] if keep is None else keep, fields, start, also)
 
 
 def parent(path):
@@ -228,32 +294,35 @@ def inherit(scanned: DataFrame, path_col: str = "path", is_file=None) -> DataFra
     ``is_file``: which rows are licence files of their directory; by name if none is given.
     """
     work = Workspace(scanned.sparkSession, "licenses")
-    marked = scanned.withColumn("__dir", parent(F.col(path_col))).withColumn("__file", F.coalesce(F.col(path_col).rlike(FILE_NAME.pattern.replace("(?:^|/)", "(?i)(?:^|/)")) if is_file is None else is_file, F.lit(False)))
-    marked = work.keep(marked, "scanned")
-    sources = marked.where(F.col("__file") & F.col("own_license").isNotNull() & F.col(path_col).isNotNull())
-    sources = sources.groupBy(F.col("__dir").alias("__up")).agg(F.min_by("own_license", path_col).alias("__license"), F.min(path_col).alias("__from"))
-    sources = work.keep(sources, "sources")
-    return climb(work, marked, sources)
+    file = named_license(F.col(quoted(path_col))) if is_file is None else F.coalesce(is_file, F.lit(False))
+    frame, own = numbered(scanned.withColumn("__file", file), {"path": path_col, "own_license": "own_license", "file": "__file"})
+    marked = work.keep(frame.withColumn("dir", parent(F.col("path"))), "scanned")
+    sources = marked.where("file AND own_license IS NOT NULL AND path IS NOT NULL").groupBy(F.col("dir").alias("up")).agg(F.min_by("own_license", "path").alias("license"), F.min("path").alias("from"))
+    made = ["license", "inherited_from", "depth"]
+    return climb(work, marked, sources).select(*[c.alias(n) for c, n in zip(own[:-1], beside(scanned.columns, made), strict=True)], *made)
 
 
 def climb(work: Workspace, marked: DataFrame, sources: DataFrame) -> DataFrame:
-    """Joins each directory's nearest ancestor in ``sources`` (__up, __license, __from) to the rows of ``marked``."""
-    folders = marked.where("__dir IS NOT NULL").select("__dir").distinct()
-    parts = F.split("__dir", "/")
-    ups = F.when(F.col("__dir") == "", F.array(F.struct(F.lit("").alias("__up"), F.lit(0).alias("depth")))).otherwise(
-        F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.struct(F.array_join(F.slice(parts, 1, F.size(parts) - k), "/").alias("__up"), k.alias("depth")))
+    """``marked`` (dir, own_license and more) with license, inherited_from and depth by each directory's nearest ancestor in ``sources`` (up, license, from)."""
+    sources = work.keep(sources, "sources")
+    folders = marked.where("dir IS NOT NULL").select("dir").distinct()
+    parts = F.split("dir", "/")
+    ups = F.when(F.col("dir") == "", F.array(F.struct(F.lit("").alias("up"), F.lit(0).alias("depth")))).otherwise(
+        F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.struct(F.array_join(F.slice(parts, 1, F.size(parts) - k), "/").alias("up"), k.alias("depth")))
     )
-    lines = folders.select("__dir", F.inline(ups).alias("__up", "depth"))
-    nearest = lines.join(sources, "__up").groupBy("__dir").agg(F.min(F.struct("depth", "__license", "__from")).alias("__near"))
-    nearest = work.keep(nearest, "nearest")
+    lines = work.keep(folders.select("dir", F.inline(ups).alias("up", "depth")), "lines")
+    # the root is above every directory: the source of an ancestor of many is copied, one copy for FOLDERS_A_COPY of them
+    hot = work.keep(lines.groupBy("up").count().where(F.col("count") > FOLDERS_A_COPY).select("up", F.ceil(F.col("count") / FOLDERS_A_COPY).cast("int").alias("copies")), "hot")
+    hot = F.broadcast(hot) if hot.count() <= BROADCAST_ROWS else hot
+    copies = F.coalesce("copies", F.lit(1))
+    asked = lines.join(hot, "up", "left").select("dir", "up", "depth", F.pmod(F.xxhash64("dir"), copies).cast("int").alias("copy"))
+    given = sources.join(hot, "up", "left").select("up", "license", "from", F.explode(F.sequence(F.lit(0), copies - 1)).alias("copy"))
+    near = asked.join(given, ["up", "copy"]).groupBy("dir").agg(F.min(F.struct("depth", "license", "from")).alias("near"))
+    near = work.keep(near.withColumnRenamed("dir", "near_dir"), "near")
     own = F.col("own_license").isNotNull()
-    joined = marked.join(nearest, "__dir", "left")
-    return joined.select(
-        *[c for c in marked.columns if c not in ("__dir", "__file", "license", "inherited_from", "depth")],
-        F.coalesce("own_license", F.col("__near")["__license"]).alias("license"),
-        F.when(~own, F.col("__near")["__from"]).alias("inherited_from"),
-        F.when(~own, F.col("__near")["depth"]).alias("depth"),
-    )
+    joined = marked.join(near, F.col("dir") == F.col("near_dir"), "left").drop("near_dir")
+    made = {"license": F.coalesce("own_license", F.col("near")["license"]), "inherited_from": F.when(~own, F.col("near")["from"]), "depth": F.when(~own, F.col("near")["depth"])}
+    return joined.withColumns(made).drop("near")
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -266,8 +335,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = F.concat_ws("/", F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), F.floor(F.col("doc_id") / 1000).cast("string"))
     paths = docs.select("doc_id", "text", F.coalesce("source", F.lit("-")).alias("top"), F.concat(folder, F.lit("/"), F.lpad(F.col("doc_id").cast("string"), 20, "0")).alias("path"))
     work = Workspace(spark, "op2")
-    marked = work.keep(scan(paths, keep=["doc_id", "top", "path"]).withColumn("n_notices", F.size("notices").cast("long")).drop("notices").withColumn("__dir", parent(F.col("path"))), "scanned")
+    marked = work.keep(scan(paths, keep=["doc_id", "top", "path"]).withColumn("n_notices", F.size("notices").cast("long")).drop("notices").withColumn("dir", parent(F.col("path"))), "scanned")
     have = marked.where("own_license IS NOT NULL AND path IS NOT NULL")
-    source = lambda by: have.groupBy(F.col(by).alias("__up")).agg(F.min_by("own_license", "path").alias("__license"), F.min("path").alias("__from"))
-    sources = work.keep(source("__dir").union(source("top")), "sources")
-    return climb(work, marked, sources).select("doc_id", "own_license", "own_score", "n_notices", "license", "inherited_from", F.col("depth").cast("long").alias("depth"))
+    source = lambda by: have.groupBy(F.col(by).alias("up")).agg(F.min_by("own_license", "path").alias("license"), F.min("path").alias("from"))
+    return climb(work, marked, source("dir").union(source("top"))).select("doc_id", "own_license", "own_score", "n_notices", "license", "inherited_from", F.col("depth").cast("long").alias("depth"))

@@ -1,3 +1,11 @@
+import math
+import re
+import textwrap
+from collections import Counter
+from pathlib import Path
+
+import numpy as np
+
 from langloom.llm import licenses
 
 
@@ -28,14 +36,33 @@ def test_inheritance(spark, empty):
     assert licenses.inherit(licenses.scan(empty.withColumnRenamed("note", "path"))).count() == 0
 
 
+def brute_cosines(templates, text, log=False):
+    """(name, cosine) of the best template, from the definition: tf-idf over words and pairs, all templates in turn."""
+    split = lambda t: re.findall(r"[a-z0-9]+(?:\.[0-9]+)*", t.lower())
+    bag = lambda w: Counter(w) + Counter(" ".join(p) for p in zip(w, w[1:], strict=False))
+    bags = [bag(split(t)) for _, t in templates]
+
+    def vector(c):
+        return {k: (1 + math.log(n) if log else n) * (1 + math.log((1 + len(bags)) / (1 + sum(k in b for b in bags)))) for k, n in c.items()}
+
+    def cosine(a, b):
+        return sum(x * b.get(k, 0.0) for k, x in a.items()) / (math.sqrt(sum(x * x for x in a.values())) * math.sqrt(sum(x * x for x in b.values())) or 1)
+
+    mine = vector(bag(split(text)))
+    return max(((n, cosine(mine, vector(b))) for (n, _), b in zip(templates, bags, strict=True)), key=lambda x: x[1])
+
+
 def test_whole_table(spark):
     d = "/root/testdata/sf0.01"
     docs = {r.doc_id: r for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
-    m = licenses.Matcher(licenses.TEMPLATES)
+    words, seen = re.compile(r"licen[sc]e|copyright|rights\s+reserved|spdx|permission\s+is\s+hereby|redistribut|public\s+domain", re.I), {}
     own = {}
     for i, r in docs.items():
-        found = [m.best(line) for line in r.text.split("\n") if licenses.TRIGGER.search(line)]
-        own[i] = max((f for f in found if f[0]), key=lambda f: f[1], default=(None, 0.0))[0]
+        lines = [line for line in r.text.split("\n") if words.search(line)]
+        for line in lines:
+            seen.setdefault(line, brute_cosines(licenses.TEMPLATES, line))
+        found = [seen[line] for line in lines if seen[line][1] >= 0.5]
+        own[i] = max(found, key=lambda f: (f[0] != "Proprietary", f[1]), default=(None, 0.0))[0]
     low = {}
     for i in sorted(docs):
         if own[i]:
@@ -57,14 +84,58 @@ def test_whole_table(spark):
         assert r.depth == (None if own[r.doc_id] or want is None else 0 if near is not None else 2)
 
 
+def test_cosines_of_whole_texts():
+    whole = licenses.Whole((*licenses.TEXTS, *licenses.license_texts()))
+    texts = dict(licenses.license_texts())
+    assert len(texts) > 15
+    for t in (texts["ISC"], texts["MPL-2.0"][:3000], texts["Apache-2.0"] + " x y z", "some prose about software and permission", licenses.TEXTS[2][1] + " and more"):
+        name, cos = brute_cosines((*licenses.TEXTS, *licenses.license_texts()), t, True)
+        got = whole.best(t)
+        assert got[0] == name and math.isclose(got[1], cos, abs_tol=1e-9)
+    assert whole.best("") == (None, 0.0)
+
+
+def test_licence_files_in_a_tree(spark, monkeypatch):
+    """Whole licences as projects have them: wrapped anew, with years and names, in directories that inherit."""
+    texts = dict(licenses.license_texts())
+    head = "{}\n\nCopyright (c) 2019-2024, Example Project and its contributors <team@example.org>\n\n"
+    rows, want = [("main.c", "int main;")], {"main.c": (None, None)}
+    for n, t in texts.items():
+        wrapped = head.format(n) + "\n\n".join(textwrap.fill(p, 64) for p in t.split("\n\n"))
+        rows += [(f"{n}/COPYING", wrapped), (f"{n}/src/deep/a.c", "int a;"), (f"{n}/src/b.c", "")]
+        want |= {f"{n}/COPYING": (n, None), f"{n}/src/deep/a.c": (n, f"{n}/COPYING"), f"{n}/src/b.c": (n, f"{n}/COPYING")}
+    rows += [("GPL-3.0/src/vendor/LICENSE", head.format("x") + texts["ISC"]), ("GPL-3.0/src/vendor/c.c", "int c;"), ("readme.txt", "About us.\n" * 50 + texts["Zlib"])]
+    want |= {"GPL-3.0/src/vendor/LICENSE": ("ISC", None), "GPL-3.0/src/vendor/c.c": ("ISC", "GPL-3.0/src/vendor/LICENSE"), "readme.txt": (None, None)}
+    monkeypatch.setattr(licenses, "FOLDERS_A_COPY", 2)
+    files = spark.createDataFrame(rows, "path string, text string")
+    got = {r.path: (r.license, r.inherited_from) for r in licenses.inherit(licenses.scan(files)).collect()}
+    assert got == want
+    rows = [("LICENSE", texts["MPL-2.0"])] + [(f"d{i}/e{i % 3}/x.c", "int x;") for i in range(40)]
+    got = licenses.inherit(licenses.scan(spark.createDataFrame(rows, "path string, text string"))).collect()
+    assert all((r.license, r.depth) == ("MPL-2.0", 2 if "/" in r.path else None) for r in got)
+
+
+def test_installed_licence_files():
+    """Real files of packages that are here; named as their projects say."""
+    root = Path(np.__file__).parents[1]
+    known = {"regex-": "Apache-2.0", "urllib3-": "MIT", "psutil-": "BSD-3-Clause", "xxhash-": "BSD-2-Clause", "hypothesis-": "MPL-2.0", "requests-": "Apache-2.0", "pluggy-": "MIT", "idna-": "BSD-3-Clause"}
+    whole, parts = licenses.Whole((*licenses.TEXTS, *licenses.license_texts())), licenses.Matcher(licenses.TEXTS)
+    seen = 0
+    for start, name in known.items():
+        for f in [*root.glob(f"{start}*/LICENSE*"), *root.glob(f"{start}*/licenses/LICENSE*")]:
+            text = f.read_text(errors="replace")
+            got, block = whole.best(text), licenses.block(text, parts)
+            assert (block[0] if block[0] and block[1] > got[1] else got[0]) == name and got[1] > licenses.FILE_LEAST, f
+            seen += 1
+    assert seen > 3
+
+
 def own(spark, *texts):
     files = spark.createDataFrame([(f"{i}/LICENSE", t) for i, t in enumerate(texts)], "path string, text string").coalesce(1)
     return [r.own_license for r in licenses.scan(files).orderBy("path").collect()]
 
 
 def test_licence_texts_of_many_lines(spark):
-    import textwrap
-
     whole = dict(reversed(licenses.TEXTS))
     head = "Copyright (c) 2021, The Authors\nAll rights reserved.\n\n"
     texts = [head + textwrap.fill(whole[n].replace("copyright holder", "University"), 72) + "\n" for n in ("BSD-3-Clause", "BSD-2-Clause", "MIT")]
