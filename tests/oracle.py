@@ -13,10 +13,10 @@ def plain(v):
     return None if v is None else round(v, 6) if isinstance(v, float) and math.isfinite(v) else v
 
 
-def compare(spark, sf_dir, name, query, sql):
+def compare(spark, sf_dir, name, query, sql, tables=TABLES):
     """A message if they differ, else None."""
     con = duckdb.connect()
-    for t in TABLES:
+    for t in tables:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     t0 = time.time()
     df = query(spark, sf_dir)
