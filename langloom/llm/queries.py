@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from langloom.llm import bpe, decontam, hilbert, langid, licenses, quality_net, rules, secrets, simhash, substring
+from langloom.llm.oracle import ORACLE_SQL
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1,
@@ -15,6 +18,5 @@ QUERIES = {
     "op8_simhash": simhash.op8,
     "op9_decontamination": decontam.op9,
     "op10_quality_rules": rules.op10,
+    "base_quality_counters": rules.base_counters,  # what SQL can say of op10_quality_rules
 }
-
-ORACLE_SQL: dict[str, str] = {}
