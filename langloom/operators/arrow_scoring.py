@@ -12,55 +12,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from langloom import constants as K
-from langloom.functions import chars
+from langloom.functions.batches import ENDS, PARTS, Numbers, char_class, chunked, hash_tokens, mix, push
 from langloom.operators import scoring as S
 from langloom.operators.model import Model
 from langloom.session import spread
 
-SYLLABIC = "".join(f"{chr(a)}-{chr(b)}" for a, b in chars.CJK + chars.KANA + chars.HANGUL)
-#: A sentence end, a syllabic character, or a run of other letters and numbers.
-PARTS = regex.compile(rf"[.!?…。！？\n]|[{SYLLABIC}]|[[\p{{Alphabetic}}\p{{N}}]--[{SYLLABIC}]]+", regex.V1)
-ENDS = frozenset(".!?…。！？\n")
-PRIME = np.uint32(16777619)
-CHUNK_CHARS, CACHED_TOKENS, LONG_TOKEN = 1 << 20, 200_000, 64
-
-
-def _push(h: np.ndarray, cp: np.ndarray) -> np.ndarray:
-    h = (h ^ (cp & np.uint32(255))) * PRIME
-    h = (h ^ ((cp >> np.uint32(8)) & np.uint32(255))) * PRIME
-    return (h ^ (cp >> np.uint32(16))) * PRIME * PRIME
-
-
-def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    h = ((a * PRIME) ^ np.uint32(0x9E3779B9)) * PRIME ^ b
-    h = (h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA6B)
-    return h ^ (h >> np.uint32(13))
-
-
-def char_class(c: str) -> int:
-    """As functions.chars.class_of."""
-    u = ord(c)
-    within = lambda ranges: any(a <= u <= b for a, b in ranges)
-    if u < 128:
-        return chars.LOWER if "a" <= c <= "z" else chars.UPPER if "A" <= c <= "Z" else chars.DIGIT if "0" <= c <= "9" else chars.SPACE if c in " \t\n\x0b\x0c\r" else chars.PUNCT
-    script = chars.C_KANA if within(chars.KANA) else chars.C_HANGUL if within(chars.HANGUL) else chars.C_CJK if within(chars.CJK) else None
-    early = chars.C_GREEK if within(chars.GREEK) else chars.C_CYRILLIC if within(chars.CYRILLIC) else script
-    if regex.match(r"\p{White_Space}", c):
-        return chars.SPACE
-    alphabetic = bool(regex.match(r"\p{Alphabetic}", c))
-    if alphabetic and regex.match(r"\p{Lowercase}", c):
-        return chars.C_LATIN_EXT if within(chars.LATIN_EXT) else chars.OTHER if early is None else early
-    if alphabetic and regex.match(r"\p{Uppercase}", c):
-        return chars.UPPER
-    if regex.match(r"\p{N}", c):
-        return chars.DIGIT
-    return early if early is not None else chars.OTHER if alphabetic else chars.PUNCT
+CACHED_TOKENS = 200_000
 
 
 class Table:
@@ -96,14 +58,6 @@ class Tables:
         del self.names
 
 
-class _Numbers(dict):
-    """Token to its number; a new token gets the next one."""
-
-    def __missing__(self, token: str) -> int:
-        self[token] = n = len(self)
-        return n
-
-
 class Scorer:
     def __init__(self, tables: Tables):
         self.t, self.size = tables, len(tables.langs)
@@ -111,7 +65,7 @@ class Scorer:
         self._forget()
 
     def _forget(self) -> None:
-        self.numbers = _Numbers({end: i for i, end in enumerate(ENDS)})
+        self.numbers = Numbers({end: i for i, end in enumerate(ENDS)})
         n = len(ENDS)
         self.hash, self.two = np.zeros(n, np.uint32), np.zeros(n, bool)
         self.sums = np.zeros((n, 4 * self.size), np.int64)  # tok, affix, pos, wl
@@ -122,9 +76,9 @@ class Scorer:
         if not new:
             return
         t = self.t
-        h, size = self._hashes(new), np.fromiter(map(len, new), np.int64, len(new))
+        h, size = hash_tokens(new), np.fromiter(map(len, new), np.int64, len(new))
         two = size >= 2
-        pre, suf = self._hashes([x[:4] for x in new]), self._hashes([x[:8][-4:] for x in new])
+        pre, suf = hash_tokens([x[:4] for x in new]), hash_tokens([x[:8][-4:] for x in new])
         first, last = (np.fromiter((ord(x[:8][i]) for x in new), np.uint32, len(new)) for i in (0, -1))
         tok = t.tok.values[t.tok.find(h)] * (t.idf.values[t.idf.find(h)] + 4096)
         affix = (t.pre.values[t.pre.find(pre)] + t.suf.values[t.suf.find(suf)]) * two[:, None]
@@ -133,23 +87,6 @@ class Scorer:
         self.hash, self.two = np.append(self.hash, h), np.append(self.two, two)
         self.sums = np.concatenate([self.sums, np.concatenate([tok, affix, pos, words], axis=1)])
 
-    @staticmethod
-    def _hashes(tokens: list[str]) -> np.ndarray:
-        h = np.full(len(tokens), 2166136261, dtype=np.uint32)
-        size = np.fromiter(map(len, tokens), np.int64, len(tokens))
-        for i in np.flatnonzero(size > LONG_TOKEN).tolist():
-            x = h[i : i + 1]
-            for cp in np.frombuffer(tokens[i].encode("utf-32-le"), np.uint32):
-                x = _push(x, np.array([cp], np.uint32))
-            h[i] = x[0]
-        short = np.flatnonzero(size <= LONG_TOKEN)
-        flat = np.frombuffer("".join(tokens[i] for i in short.tolist()).encode("utf-32-le"), np.uint32)
-        start = np.concatenate([[0], np.cumsum(size[short])])[:-1]
-        for k in range(int(size[short].max(initial=0))):
-            on = np.flatnonzero(size[short] > k)
-            h[short[on]] = _push(h[short[on]], flat[start[on] + k])
-        return h
-
     def _classes(self, cps: np.ndarray) -> np.ndarray:
         got = self.kind[cps]
         if (got == 255).any():
@@ -171,14 +108,14 @@ class Scorer:
         end2 = end1.copy()  # last but one, too
         end2[:-1] |= end1[1:]
         after, after2 = np.append(cps[1:], [0]).astype(np.uint32), np.append(cps[2:], [0, 0])[: len(cps)].astype(np.uint32)
-        h2 = _push(_push(np.full(len(cps), 2166136261, np.uint32), cps), after)
+        h2 = push(push(np.full(len(cps), 2166136261, np.uint32), cps), after)
         kind = self._classes(cps)
         pair = np.where(end1, K.CLASSES**2, kind * K.CLASSES + np.append(kind[1:], 0))
         total = lambda rows: np.add.reduceat(rows, start, axis=0)
         out = {
             "uni": total(t.uni.values[t.uni.find(cps)]),
             "bi": total(t.bi.values[np.where(end1, t.bi.zero, t.bi.find(h2))]),
-            "tri": total(t.tri.values[np.where(end2, t.tri.zero, t.tri.find(_push(h2, after2)))]),
+            "tri": total(t.tri.values[np.where(end2, t.tri.zero, t.tri.find(push(h2, after2)))]),
             "cls": total(t.classes[pair]),
         }
 
@@ -196,7 +133,7 @@ class Scorer:
         both = np.append(False, word[1:] & word[:-1])
         at = np.flatnonzero(both)
         found = np.full(len(ids), t.tokbi.zero)
-        found[at] = t.tokbi.find(_mix(self.hash[ids[at - 1]], self.hash[ids[at]]))
+        found[at] = t.tokbi.find(mix(self.hash[ids[at - 1]], self.hash[ids[at]]))
         out["tokbi"] = np.add.reduceat(t.tokbi.values[found], by, axis=0)
         stop = np.flatnonzero(~word)
         run = np.diff(np.append(-1, stop)) - 1
@@ -209,19 +146,12 @@ class Scorer:
         return counts, np.stack([out[name] for name in S.TERMS], axis=2)
 
 
-def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
-    i, now = 0, 0
-    for j, x in enumerate(texts):
-        if j > i and now + len(x) > CHUNK_CHARS:
-            yield i, j
-            i, now = j, 0
-        now += len(x)
-    if i < len(texts):
-        yield i, len(texts)
-
-
 def terms(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """As scoring.terms()."""
+    return S.by_groups(model, lambda some: _terms(docs, some, id_col, text_col))
+
+
+def _terms(docs: DataFrame, model: Model, id_col: str, text_col: str) -> DataFrame:
     tables = Tables(model)
     sent = docs.sparkSession.sparkContext.broadcast(tables)
     rows = spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")))
@@ -234,7 +164,7 @@ def terms(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             scorer = scorer or Scorer(sent.value)
             size = scorer.size
             ids, every = batch.column(0), [x or "" for x in batch.column(1).to_pylist()]
-            for i, j in _chunks(every):
+            for i, j in chunked(every):
                 texts = every[i:j]
                 some = [k for k, x in enumerate(texts) if x]
                 counts, made = np.zeros((j - i, len(S.COUNTS)), np.int64), np.zeros((j - i, size, len(S.TERMS)), np.int64)
@@ -246,7 +176,3 @@ def terms(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_arrays(cols + [pa.array(np.ascontiguousarray(made[:, c])) for c in range(len(S.TERMS))], names=schema.names)
 
     return rows.mapInArrow(run, schema)
-
-
-def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return S.rank(S.score(terms(docs, model, id_col, text_col)))

@@ -1,8 +1,9 @@
 """Training counts: ``counts(lang, section, key, sub, cnt)`` and ``stats(lang, docs, chars_total, tokens_total)``.
 
 key is a hash, code point, bin or class; sub is the slot of a character position or the second class of a pair,
-else 0. Texts are exploded once for characters and once for tokens; equal windows and token pairs are summed on the
-map side before anything is hashed or shuffled, and every section comes out of those sums.
+else 0. ``train_counts`` counts in Arrow batches, in one pass over the texts; the stats are sums of its sections.
+``counts_by_columns`` is the same in column expressions: texts are exploded once for characters, once for tokens and
+once for sentences, and equal windows and token pairs are summed on the map side before anything is hashed or shuffled.
 """
 
 from __future__ import annotations
@@ -15,8 +16,10 @@ from pyspark.sql import functions as F
 
 from langloom import constants as K
 from langloom.functions import chars, hashing
+from langloom.operators import arrow_counts
 from langloom.operators import features as X
 from langloom.session import spread
+from langloom.workspace import written
 
 
 def _entry(section: int, key: Column, sub: Column | int = 0) -> Column:
@@ -90,10 +93,9 @@ def sentence_counts(texts: DataFrame) -> DataFrame:
     return bins.groupBy("lang", "b").agg(F.count("*").alias("cnt")).select("lang", F.lit(K.SENTENCE_LENGTH).alias("section"), F.col("b").cast("long").alias("key"), F.lit(0).alias("sub"), "cnt")
 
 
-def token_document_counts(texts: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(lang, key, df): documents of each language that have the token."""
-    tokens = X.sentences(texts, ["lang", id_col], K.TRAIN_CHARS).select("lang", id_col, F.explode("tokens").alias("token")).distinct()
-    return tokens.select("lang", id_col, hashing.hash_token(F.col("token")).alias("key")).distinct().groupBy("lang", "key").agg(F.count("*").alias("df"))
+def token_document_counts(texts: DataFrame) -> DataFrame:
+    """(lang, key, df): documents (rows) of each language that have the token."""
+    return arrow_counts.document_frequencies(texts, K.TRAIN_CHARS)
 
 
 @dataclass(frozen=True)
@@ -116,9 +118,15 @@ class Counts:
 
 
 def train_counts(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Counts:
+    """Counted in one pass and written, so both tables come from what is small."""
     texts = known_texts(spread(df.select(F.col(text_col), F.col(lang_col))), text_col, lang_col)
-    counts = char_counts(texts).unionByName(token_counts(texts)).unionByName(sentence_counts(texts))
-    size = F.length(chars.folded(F.col("text"), K.TRAIN_CHARS))
-    tokens = X.sentences(texts, ["lang"], K.TRAIN_CHARS).groupBy("lang").agg(F.sum(F.size("tokens")).alias("tokens_total"))
-    stats = texts.groupBy("lang").agg(F.count("*").alias("docs"), F.sum(size).cast("long").alias("chars_total"))
-    return Counts(counts, stats.join(tokens, "lang", "left").select("lang", "docs", "chars_total", F.coalesce("tokens_total", F.lit(0)).cast("long").alias("tokens_total")))
+    made = written(arrow_counts.count(texts, K.TRAIN_CHARS), "counts")
+    total = lambda section: F.coalesce(F.sum(F.when(F.col("section") == section, F.col("cnt"))), F.lit(0)).cast("long")
+    stats = made.groupBy("lang").agg(total(arrow_counts.DOCUMENTS).alias("docs"), total(K.CHAR_UNIGRAM).alias("chars_total"), total(K.TOKEN_UNIGRAM).alias("tokens_total"))
+    return Counts(made.where(F.col("section") >= 0), written(stats, "stats"))
+
+
+def counts_by_columns(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The counts in column expressions only."""
+    texts = known_texts(spread(df.select(F.col(text_col), F.col(lang_col))), text_col, lang_col)
+    return char_counts(texts).unionByName(token_counts(texts)).unionByName(sentence_counts(texts))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from langloom import constants as K
 from langloom.functions import quantize as Q
 from langloom.operators.counts import Counts, train_counts
-from langloom.workspace import new_path, written
+from langloom.workspace import new_path
 
 
 @contextmanager
@@ -167,6 +167,5 @@ def build_model(counts: Counts, languages: list[str] | None = None, max_docs: in
 
 
 def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", languages: list[str] | None = None, max_docs: int = K.MAX_DOCS) -> Model:
-    """The written model of a table of texts. Counts are written once and read by every table of the model."""
-    made = train_counts(df, text_col, lang_col)
-    return build_model(Counts(written(made.counts, "counts"), written(made.stats, "stats")), languages, max_docs).written()
+    """The written model of a table of texts. train_counts() writes the counts, which every table of the model reads."""
+    return build_model(train_counts(df, text_col, lang_col), languages, max_docs).written()

@@ -1,14 +1,16 @@
 """Scores of every language for every text.
 
-The model is pivoted to one row per key with a column per language, OOV filled in, and broadcast: a text's
-features are probed once for all languages. Its size is bounded by TOP_K and the number of languages (at most
-``MOST_LANGUAGES``), not by the corpus. Terms are summed as BIGINT by document, so results don't depend on
-partitioning; the weighted sum of eight terms comes last.
+``classify`` looks terms up in Arrow batches (``arrow_scoring``); ``terms`` are the same as column expressions: the model
+is pivoted to one row per key with a column per language, OOV filled in, and broadcast, so a text's features are probed
+once for all languages. Languages are taken ``GROUP`` at a time, each group over all texts, so what is broadcast is at most
+the record limits (TOP_K) times GROUP rows of GROUP numbers, whatever the corpus and the number of languages. Terms are summed
+as BIGINT by document, so results don't depend on partitioning; the weighted sum of eight terms comes last.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,7 +22,7 @@ from langloom.operators import features as X
 from langloom.operators.model import Model
 from langloom.session import spread
 
-MOST_LANGUAGES = 256
+MOST_LANGUAGES, GROUP = 256, 32
 TERMS = ("tri", "bi", "uni", "tok", "affix", "tokbi", "pos", "cls", "wl", "sl")
 
 
@@ -35,8 +37,6 @@ class Lookup:
 
     def __init__(self, model: Model):
         head = model.header.orderBy("lang_index").collect()
-        if len(head) > MOST_LANGUAGES:
-            raise ValueError(f"more than {MOST_LANGUAGES} languages")
         self.langs, self.oov, self.model = [r["lang"] for r in head], [r["oov_logprob_q"] for r in head], model
         self.zero = [0] * len(head)
 
@@ -133,11 +133,26 @@ def sentence_terms(docs: DataFrame, look: Lookup) -> DataFrame:
 COUNTS = ("n", "n_tok", "n_tokbi", "n_pos", "n_sent")
 
 
+def by_groups(model: Model, make: Callable[[Model], DataFrame]) -> DataFrame:
+    """The term rows that ``make`` gives for each ``GROUP`` of the model's languages, together."""
+    langs = model.languages()
+    if len(langs) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    if len(langs) <= GROUP:
+        return make(model)
+    rows = [make(model.only(langs[i : i + GROUP])).withColumn("lang_index", F.col("lang_index") + i) for i in range(0, len(langs), GROUP)]
+    return reduce(DataFrame.unionByName, rows)
+
+
 def terms(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each text and language: doc_id, lang_index, lang, the counts and the integer TERMS.
 
     ``id_col`` must be unique. A null text counts as empty.
     """
+    return by_groups(model, lambda some: _terms(docs, some, id_col, text_col))
+
+
+def _terms(docs: DataFrame, model: Model, id_col: str, text_col: str) -> DataFrame:
     look = Lookup(model)
     texts = spread(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")))
     some = texts.where("text <> ''")
@@ -185,13 +200,15 @@ def rank(scored: DataFrame) -> DataFrame:
     return rows.select("doc_id", "lang_index", "lang", "score", confidence.alias("confidence"), F.row_number().over(order).alias("rank"))
 
 
-def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", max_out: int | None = None) -> DataFrame:
-    """Every language for every text, ranked; the first ``max_out`` if given."""
+def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", max_out: int | None = None, by_columns: bool = False) -> DataFrame:
+    """Every language for every text, ranked; the first ``max_out`` if given. ``by_columns``: without Python workers."""
+    from langloom.operators import arrow_scoring  # which has terms() of this module in Arrow batches
+
     if max_out is not None and max_out < 1:
         raise ValueError("max_out is 1 or more")
-    ranked = rank(score(terms(docs, model, id_col, text_col)))
+    ranked = rank(score((terms if by_columns else arrow_scoring.terms)(docs, model, id_col, text_col)))
     return ranked if max_out is None else ranked.where(F.col("rank") <= max_out)
 
 
-def classify_top(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return classify(docs, model, id_col, text_col, 1).drop("rank")
+def classify_top(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", by_columns: bool = False) -> DataFrame:
+    return classify(docs, model, id_col, text_col, 1, by_columns).drop("rank")

@@ -1,25 +1,34 @@
 """Document cap and strided held-out split, in closed form instead of a sequential scan.
 
-Only keys are ranked, never texts: first within ``SALTS`` parts of a language, where all but the first ``limit`` keys go,
-then what is left of the language, whose number of rows is so bounded. Rows are joined back by language and key.
+Only keys are ordered, never texts: by a range partitioning on language and key, so a language that has most of the rows is
+split among tasks. A key's position follows from its place in its partition and from how many keys of its language
+the partitions before it hold. Rows are joined back by language and key.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from langloom import constants as K
-
-SALTS = 32
+from langloom.workspace import written
 
 
 def positions(df: DataFrame, order: list[str], limit: int, lang_col: str = "lang") -> DataFrame:
     """(lang, order…, position): the first ``limit`` keys of each language, from 1. ``order`` must be total and not null."""
-    keys = df.select(lang_col, *order, F.pmod(F.xxhash64(*order), F.lit(SALTS)).alias("__salt"))
-    few = keys.withColumn("__k", F.row_number().over(Window.partitionBy(lang_col, "__salt").orderBy(*order))).where(F.col("__k") <= limit)
-    placed = few.withColumn("position", F.row_number().over(Window.partitionBy(lang_col).orderBy(*order)).cast("long"))
-    return placed.where(F.col("position") <= limit).select(lang_col, *order, "position")
+    keys = [lang_col, *order]
+    ranked = df.select(*keys).repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__at", F.monotonically_increasing_id())
+    ranked = written(ranked, "positions")  # __at is the partition and the place in it
+    part = F.shiftright("__at", 33)
+    held = ranked.groupBy(lang_col, part.alias("part")).agg(F.min("__at").alias("first"), F.count("*").alias("n")).collect()  # a row for each task and language in it
+    before, rows = {}, []
+    for r in sorted(held, key=lambda r: r["part"]):
+        so_far = before.get(r[lang_col], 0)
+        rows.append((r[lang_col], r["part"], so_far + 1 - r["first"]))
+        before[r[lang_col]] = so_far + r["n"]
+    shifts = df.sparkSession.createDataFrame(rows, "__lang string, __part long, __shift long")
+    placed = ranked.join(F.broadcast(shifts), (F.col(lang_col) == F.col("__lang")) & (part == F.col("__part")))
+    return placed.select(*keys, (F.col("__at") + F.col("__shift")).alias("position")).where(F.col("position") <= limit)
 
 
 def strided_split(df: DataFrame, order: list[str], max_docs: int = K.MAX_DOCS, eval_docs: int = K.EVAL_DOCS, lang_col: str = "lang") -> DataFrame:

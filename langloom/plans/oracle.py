@@ -221,6 +221,6 @@ ORACLE_SQL: dict[str, str] = {
     "char_classes": f"SELECT unicode(c)::BIGINT AS cp, ({char_class('c')})::BIGINT AS class, c IN ('.', '!', '?', '…', '。', '！', '？', chr(10)) AS sentence_end, count(*) AS cnt FROM (SELECT unnest(string_split(text, '')) AS c FROM documents WHERE text IS NOT NULL) GROUP BY c",
     "model_roundtrip": sql(LONG_FORM),
 }
-ORACLE_SQL["doc_terms_arrow"], ORACLE_SQL["classify_arrow"] = ORACLE_SQL["doc_terms"], ORACLE_SQL["classify"]
+ORACLE_SQL["doc_terms_arrow"], ORACLE_SQL["classify_columns"] = ORACLE_SQL["doc_terms"], ORACLE_SQL["classify"]
 ORACLE_SQL |= {name: _counts_sql(s) for s, (name, _) in NAMES.items() if name}
 ORACLE_SQL |= {name: _model_sql(s) for s, (_, name) in NAMES.items()}

@@ -31,20 +31,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _stamp(spark: SparkSession, path: str) -> tuple:
+    """Sizes and times of the files of a table, by which a changed one is known."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in found))
+
+
 def _once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], object]):
-    """Made once a session and folder: the queries share one training run."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    """Made once a session and state of the documents: the queries share one training run."""
+    key = (spark.sparkContext.applicationId, sf_dir, name, _stamp(spark, f"{sf_dir}/documents.parquet"))
     if key not in _made:
         _made[key] = make()
     return _made[key]
 
 
 def trained_counts(spark: SparkSession, sf_dir: str) -> C.Counts:
-    def make() -> C.Counts:
-        fresh = C.train_counts(table(spark, sf_dir, "documents"))
-        return C.Counts(written(fresh.counts, "counts"), written(fresh.stats, "stats"))
-
-    return _once(spark, sf_dir, "counts", make)
+    return _once(spark, sf_dir, "counts", lambda: C.train_counts(table(spark, sf_dir, "documents")))
 
 
 def trained_model(spark: SparkSession, sf_dir: str) -> Model:
@@ -79,7 +82,7 @@ def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_df(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.token_document_counts(C.known_texts(spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")), keep=["doc_id"]))
+    return C.token_document_counts(C.known_texts(spread(table(spark, sf_dir, "documents").select("text", "lang"))))
 
 
 def section_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,7 +96,8 @@ def idf_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def merge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    halves = [C.train_counts(docs.where(f"doc_id % 2 = {k}")) for k in (0, 1)]  # two disjoint halves, all rows
+    odd = F.coalesce(F.col("doc_id") % 2 != 0, F.lit(False))
+    halves = [C.train_counts(docs.where(part)) for part in (odd, ~odd)]  # two disjoint halves, all rows
     return _longs(halves[0].merge(halves[1]).counts)
 
 
@@ -152,8 +156,9 @@ def doc_terms_arrow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _longs(A.terms(table(spark, sf_dir, "documents"), trained_model(spark, sf_dir)).drop("lang"))
 
 
-def classify_arrow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = A.classify(table(spark, sf_dir, "documents"), trained_model(spark, sf_dir))
+def classify_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``classify``, without Python workers."""
+    rows = S.classify(table(spark, sf_dir, "documents"), trained_model(spark, sf_dir), by_columns=True)
     return _rounded(rows.select("doc_id", "lang", "rank", "score", "confidence"), "score", "confidence")
 
 
@@ -236,7 +241,7 @@ NAMES = {
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        corpus_stats, token_df, section_totals, merge_counts, model_header, lookup_oov, doc_terms, doc_terms_arrow, score_all, classify, classify_arrow, classify_top, classify_conversations, train_eval_split, doc_cap,
+        corpus_stats, token_df, section_totals, merge_counts, model_header, lookup_oov, doc_terms, doc_terms_arrow, score_all, classify, classify_columns, classify_top, classify_conversations, train_eval_split, doc_cap,
         eval_accuracy, benchmark_report, benchmark_misses, text_scan_filter, lang_registry, json_cases, char_classes, model_roundtrip,
     )
 }

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from langloom import constants as K
 from langloom.functions import chars, hashing, quantize
 from langloom.functions.text import is_json_array, short_name, snippet
+from langloom.functions import batches
 from langloom.operators import arrow_scoring
 from langloom.operators import features as X
 from langloom.operators.counts import Counts, train_counts
@@ -56,7 +57,7 @@ CLASSES = {
 
 def test_classes_and_folding(spark):
     df = spark.createDataFrame([(c,) for c in CLASSES], "c string")
-    assert {c: arrow_scoring.char_class(c) for c in CLASSES} == CLASSES
+    assert {c: batches.char_class(c) for c in CLASSES} == CLASSES
     assert {r.c: r.k for r in df.select("c", chars.class_of(F.col("c")).alias("k")).collect()} == CLASSES
     texts = spark.createDataFrame([("ΟΔΟΣ",), ("İx",), ("ABCé",), ("ΣΑΣ",)], "t string")
     assert [r[0] for r in texts.select(chars.fold(F.col("t"))).collect()] == ["οδοσ", "i̇x", "abcé", "σασ"]
