@@ -19,8 +19,11 @@ from langloom.workspace import written
 def train_corpus(
     corpus: DataFrame, order: list[str], languages: list[str] | None = None, max_docs: int = K.MAX_DOCS, eval_docs: int = K.EVAL_DOCS, out_dir: str | None = None, bundle: bool = True
 ) -> tuple[Model, DataFrame]:
-    """(model, held-out report) of (doc_id, lang, text): split, count, build, write, evaluate."""
-    parts = written(strided_split(corpus.where("text IS NOT NULL AND text <> ''"), order, max_docs, eval_docs), "split")
+    """(model, held-out report) of (lang, text and what orders the scan): split, count, build, write, evaluate."""
+    parts = strided_split(corpus.where("text IS NOT NULL AND text <> ''"), order, max_docs, eval_docs)
+    if "doc_id" not in corpus.columns:
+        parts = parts.withColumn("doc_id", F.monotonically_increasing_id())
+    parts = written(parts, "split")
     model = train(parts.where("split = 'train'"), languages=languages, max_docs=max_docs)
     if out_dir:
         write_files(model, out_dir, bundle)

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from langloom.sources.registry import resolve
+from langloom.sources.registry import LANGUAGES, resolve
+from langloom.workspace import written
 
 
 def leaves(schema: T.DataType, prefix: str = "") -> Iterator[str]:
@@ -50,9 +52,13 @@ def read_parquet_texts(spark: SparkSession, path: str | list[str], text_col: str
 
 
 def read_text_lines(spark: SparkSession, path: str) -> DataFrame:
-    """One text a line; blank lines are left out, others kept as they are. A line that isn't UTF-8 is an error."""
-    raw = spark.read.option("lineSep", "\n").text(path).select(F.validate_utf8("value").alias("v"))
-    return raw.select(F.regexp_replace("v", "\r$", "").alias("text")).where(~F.col("text").rlike(r"^\p{IsWhite_Space}*$"))
+    """text, a line each, with _file, _block and _row, which order the scan; blank lines are left out, others kept as they are.
+
+    A line that isn't UTF-8 is an error. _row grows within a block of a file, so it holds for one reading only.
+    """
+    raw = spark.read.option("lineSep", "\n").text(path)
+    raw = raw.select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_row"), F.validate_utf8("value").alias("v"))
+    return raw.select("_file", "_block", "_row", F.regexp_replace("v", "\r$", "").alias("text")).where(~F.col("text").rlike(r"^\p{IsWhite_Space}*$"))
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -77,17 +83,37 @@ def list_parquet(spark: SparkSession, root: str, prefixes: list[str]) -> list[st
     raise FileNotFoundError(f"no Parquet files under {root} for {prefixes}")
 
 
+#: What orders the texts of a language as a scan of its files would.
+SCAN_ORDER = ["_file", "_block", "_row"]
+
+
+def _ordered(rows: DataFrame, code: str) -> DataFrame:
+    block = F.col("_block") if "_block" in rows.columns else F.lit(0).cast("long")
+    return rows.select(F.lit(code).alias("lang"), "_file", block.alias("_block"), "_row", "text")
+
+
 def read_corpus(spark: SparkSession, directory: str, codes: list[str] | None = None, text_col: str = "text") -> DataFrame:
-    """lang, text of each language's <code>.parquet or else <code>.txt in a directory."""
-    out: DataFrame | None = None
+    """lang, text and SCAN_ORDER of each language's <code>.parquet or else <code>.txt in a directory."""
+    parts = []
     for code in resolve(codes):
         base = f"{directory.rstrip('/')}/{code}"
         if _exists(spark, f"{base}.parquet"):
-            rows = texts_of(spark.read.parquet(f"{base}.parquet"), text_col)
+            parts.append(_ordered(read_parquet_texts(spark, f"{base}.parquet", text_col), code))
         elif _exists(spark, f"{base}.txt"):
-            rows = read_text_lines(spark, f"{base}.txt")
+            parts.append(written(_ordered(read_text_lines(spark, f"{base}.txt"), code), "lines"))
         else:
             raise FileNotFoundError(f"neither {base}.parquet nor {base}.txt")
-        rows = rows.select(F.lit(code).alias("lang"), "text")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    return reduce(DataFrame.unionByName, parts)
+
+
+def read_listed_corpus(spark: SparkSession, root: str, codes: list[str] | None = None, text_col: str = "text") -> DataFrame:
+    """lang, text and SCAN_ORDER of each language's listed files: <root>/<dataset>/<prefix>…, by the first prefix that has any.
+
+    ``root`` is a directory of datasets on any file system that Spark has: a mirror, an object store, a dataset hub.
+    """
+    known = {code: (repo, prefixes) for code, repo, prefixes in LANGUAGES}
+    parts = []
+    for code in resolve(codes):
+        repo, prefixes = known[code]
+        parts.append(_ordered(read_parquet_texts(spark, list_parquet(spark, f"{root.rstrip('/')}/{repo}", prefixes), text_col), code))
+    return reduce(DataFrame.unionByName, parts)

@@ -11,10 +11,10 @@ from langloom.operators.scoring import classify_top
 
 
 def classify_stream(stream: DataFrame, model: Model, sink_path: str, checkpoint: str) -> StreamingQuery:
-    """Appends the best language of each text (doc_id, text) to a Parquet table, micro-batch by micro-batch."""
+    """Writes the best language of each text (doc_id, text) to a folder of the micro-batch; a replayed one overwrites its own."""
 
-    def batch(df: DataFrame, _: int) -> None:
-        classify_top(df, model).write.mode("append").parquet(sink_path)
+    def batch(df: DataFrame, number: int) -> None:
+        classify_top(df, model).write.mode("overwrite").parquet(f"{sink_path}/batch={number}")
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).start()
 

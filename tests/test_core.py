@@ -1,15 +1,16 @@
 """The hand-derived trace, hash vectors and classes."""
 
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
 from langloom import constants as K
-from langloom.functions import chars, hashing, quantize
+from langloom.functions import batches, chars, hashing, quantize
 from langloom.functions.text import is_json_array, short_name, snippet
-from langloom.functions import batches
-from langloom.operators import arrow_scoring
+from langloom.operators import arrow_counts, arrow_scoring
 from langloom.operators import features as X
-from langloom.operators.counts import Counts, train_counts
+from langloom.operators.counts import Counts, counts_by_columns, train_counts
 from langloom.operators.model import build_model, token_idf
 from langloom.operators.scoring import classify, rank, terms
 
@@ -167,3 +168,31 @@ def test_ranks_of_ties_and_caps(spark):
     assert got[1, "c"][0] == 1 and got[1, "a"][0] == 2 and got[1, "b"][0] == 3 and got[2, "a"] == (1, 0.0) and got[2, "b"] == (2, 0.0)
     with pytest.raises(ValueError):
         classify(None, None, max_out=0)
+
+
+def test_counts_in_batches_like_those_by_columns(spark):
+    rows = [
+        ("en", "Ab cde. F"), ("en", "x İx ΟΔΟΣ ab中cd twelveletters! One? two; THREE\nfour"), ("ja", "日本語のテキスト。これは Ünïted 12 ٣"), ("en", "--"), ("en", "a"), ("de", "Straße " * 12000), ("de", "İ" * 70000),
+        (None, "x"), ("en", None), ("en", ""), ("ko", "한국어 ab"),
+    ]
+    df = spark.createDataFrame(rows, "lang string, text string")
+    made = train_counts(df)
+    key = lambda frame: sorted((r.lang, r.section, r.key, r.sub, r.cnt) for r in frame.collect())
+    assert key(made.counts) == key(counts_by_columns(df))
+    stats = {r.lang: (r.docs, r.chars_total, r.tokens_total) for r in made.stats.collect()}
+    assert stats["ja"] == (1, 24, 14) and stats["ko"] == (1, 6, 4) and stats["de"][:2] == (2, 131072) and stats["en"][0] == 4
+
+
+def test_batches_hand_on_full_tables(monkeypatch):
+    monkeypatch.setattr(arrow_counts, "MOST_TOKENS", 12)
+    counter, out = arrow_counts.Counter(), []
+    texts = [f"w{i} common w{i + 1}. Ab{i}" for i in range(40)]
+    for t in texts:
+        counter.add("en", [t])
+        if counter.full():
+            out += list(counter.flush())
+    out += list(counter.flush())
+    whole = arrow_counts.Counter()
+    whole.add("en", texts)
+    total = lambda batches: sorted((k, v) for k, v in sum((Counter({(r["section"], r["key"], r["sub"]): r["cnt"]}) for b in batches for r in b.to_pylist()), Counter()).items())
+    assert total(out) == total(whole.flush()) and len(out) > 24

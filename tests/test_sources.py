@@ -194,3 +194,52 @@ def test_cli(spark, tmp_path, capsys):
     assert "4 cases" in capsys.readouterr().out
     with pytest.raises(SystemExit):
         cli.main([])
+
+
+def test_cli_reads_listed_datasets(spark, tmp_path, capsys):
+    """A mirror of the datasets: the first prefix that has files, in the order of their names; the cache goes unless it is to stay."""
+    repos = {c: (r, p) for c, r, p in registry.LANGUAGES}
+    for lang in ("en", "de"):
+        repo, prefixes = repos[lang]
+        for k in range(2):
+            rows = [(f"{WORDS[lang]} {k}{i}",) for i in range(5)]
+            spark.createDataFrame(rows, "text string").coalesce(1).write.parquet(f"{tmp_path}/hub/{repo}/{prefixes[-1]}part{k}.parquet")
+    rows = text.read_listed_corpus(spark, f"{tmp_path}/hub", ["de"]).orderBy(*text.SCAN_ORDER).collect()
+    assert [r.text for r in rows] == [f"{WORDS['de']} {k}{i}" for k in range(2) for i in range(5)]
+    args = ["--langs", "en,de", "--corpus-root", f"{tmp_path}/hub", "--out-dir", f"{tmp_path}/m", "--max-docs", "6", "--eval-docs", "2"]
+    cli.main(args)
+    assert "TOTAL" in capsys.readouterr().out and (tmp_path / "m/combined.lid").exists() and not list((tmp_path / "m/.cache").iterdir())
+    cli.main([*args, "--leave-files", "--cache-dir", f"{tmp_path}/cache"])
+    assert len(list((tmp_path / "cache").iterdir())) == 1
+    cli.main([*args, "--no-cache"])
+    with pytest.raises(FileNotFoundError):
+        text.read_listed_corpus(spark, f"{tmp_path}/hub", ["fr"])
+
+
+def test_line_files_keep_their_order(spark, tmp_path):
+    (tmp_path / "en.txt").write_text("\n".join(f"line {i}" if i % 3 else "" for i in range(3000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        rows = text.read_corpus(spark, str(tmp_path), ["en"]).orderBy(*text.SCAN_ORDER).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [r.text for r in rows] == [f"line {i}" for i in range(3000) if i % 3]
+
+
+def test_api_names():
+    import langloom
+
+    assert langloom.classify is scoring.classify and all(callable(getattr(langloom, n)) for n in langloom.__all__ if n != "VERSION")
+    with pytest.raises(AttributeError):
+        langloom.nothing
+
+
+def test_many_languages_in_groups(spark, model, monkeypatch):
+    from langloom.operators import scoring
+
+    probes = spark.createDataFrame([(i, t) for i, t in enumerate(PROBES.values())], "doc_id long, text string")
+    key = lambda df: sorted((r.doc_id, r.lang, r["rank"], r.score) for r in df.collect())
+    whole = key(scoring.classify(probes, model))
+    monkeypatch.setattr(scoring, "GROUP", 3)
+    assert key(scoring.classify(probes, model)) == whole == key(scoring.classify(probes, model, by_columns=True))
