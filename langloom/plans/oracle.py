@@ -215,6 +215,10 @@ ORACLE_SQL: dict[str, str] = {
     ),
     "benchmark_report": sql("SELECT want, sum(CASE WHEN got = want THEN 1 ELSE 0 END)::BIGINT AS ok, count(*) AS total, round(avg(confidence::DOUBLE), 4) AS avg_confidence FROM judged GROUP BY ROLLUP (want)", **BY_SPLIT),
     "benchmark_misses": sql(f"SELECT case_id, want, got, {SNIPPET} AS snippet FROM judged WHERE got <> want", **BY_SPLIT),
+    "source_misses": sql(f"SELECT case_id, want, got, {SNIPPET} AS snippet FROM judged WHERE got <> want", **BY_SPLIT, judged=WITH["judged"].replace("d.lang", "d.source")),
+    "line_files": "SELECT line, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL) WHERE NOT regexp_full_match(line, '[\\s\\v]*') GROUP BY line",
+    "json_file_cases": f"SELECT length(text) AS chars, lang AS want, {SNIPPET} AS snippet FROM documents WHERE doc_id % 4 <> 2 AND text IS NOT NULL AND lang IS NOT NULL",
+    "bundle_roundtrip": sql(LONG_FORM),
     "text_scan_filter": f"SELECT doc_id, length(text) AS chars, {SNIPPET} AS snippet FROM documents WHERE text IS NOT NULL AND text <> ''",
     "lang_registry": "SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, '{c}', '{r}', '{','.join(p)}')" for i, (c, r, p) in enumerate(LANGUAGES)) + ") v(lang_index, code, repo, prefixes)",
     "json_cases": "SELECT doc_id AS case_id, length(text) AS chars, lang AS want FROM documents WHERE doc_id % 4 <> 2 AND text IS NOT NULL AND lang IS NOT NULL",

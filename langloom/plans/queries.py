@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from langloom import constants as K
@@ -19,9 +19,9 @@ from langloom.operators.model import Model, build_model, token_idf, totals, trai
 from langloom.operators.split import cap, strided_split
 from langloom.session import spread
 from langloom.sources import modelfile, registry
-from langloom.sources.cases import pick_cases
-from langloom.sources.text import texts_of
-from langloom.workspace import written
+from langloom.sources.cases import pick_cases, read_cases
+from langloom.sources.text import read_text_lines, texts_of
+from langloom.workspace import new_path, written
 
 SPLIT_DOCS, SPLIT_EVAL = K.MAX_DOCS, K.EVAL_DOCS
 _made: dict[tuple, object] = {}
@@ -194,6 +194,12 @@ def benchmark_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.benchmark_misses(_cases(spark, sf_dir), split_model(spark, sf_dir)[1]).drop("confidence")
 
 
+def source_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of cases whose label is the source of a document, which no language is called: all are missed."""
+    cases = table(spark, sf_dir, "documents").where("text IS NOT NULL AND source IS NOT NULL").select(F.col("doc_id").alias("case_id"), "text", F.col("source").alias("want"))
+    return E.benchmark_misses(cases, split_model(spark, sf_dir)[1]).drop("confidence")
+
+
 def text_scan_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = texts_of(table(spark, sf_dir, "documents"), "text", ("doc_id",))
     return rows.select("doc_id", F.length("text").cast("long").alias("chars"), snippet(F.col("text")).alias("snippet"))
@@ -204,20 +210,39 @@ def lang_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _longs(rows.select("lang_index", "code", "repo", F.array_join("prefixes", ",").alias("prefixes")))
 
 
-def json_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as JSON objects under changing field names, some of them unusable, picked again."""
-    docs = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL")
+def line_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts written as line files and read again: every line that isn't blank, and how often it is there."""
+    path = new_path(spark, "lines")
+    table(spark, sf_dir, "documents").where("text IS NOT NULL").select("text").write.text(path)
+    return read_text_lines(spark, path).groupBy(F.col("text").alias("line")).agg(F.count("*").alias("n"))
+
+
+def _json_lines() -> Column:
+    """Documents as JSON objects under changing field names, some of them unusable."""
     k = F.col("doc_id") % 4
-    line = (
+    return (
         F.when(k == 0, F.to_json(F.struct("text", "lang")))
         .when(k == 1, F.to_json(F.struct(F.col("text").alias("sentence"), F.col("lang").alias("label"))))
         .when(k == 2, F.to_json(F.struct(F.lit(1).alias("text"), F.col("text").alias("sentence"), "lang")))
         .otherwise(F.to_json(F.struct(F.col("text").alias("content"), F.col("lang").alias("language"))))
     )
-    got = pick_cases(docs.select(F.col("doc_id").alias("case_id"), F.parse_json(line).alias("v")))
+
+
+def json_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases picked from JSON objects."""
+    docs = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL")
+    got = pick_cases(docs.select(F.col("doc_id").alias("case_id"), F.parse_json(_json_lines()).alias("v")))
     return got.select("case_id", F.length("text").cast("long").alias("chars"), "want")
 
 
+def json_file_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same written as JSON lines and read from the files."""
+    path = new_path(spark, "cases")
+    docs = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL")
+    docs.select(_json_lines()).write.text(path)
+    return read_cases(spark, path).select(F.length("text").cast("long").alias("chars"), "want", snippet(F.col("text")).alias("snippet"))
+
+
 def char_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every distinct character with its class; classes are looked up once a character."""
     every = table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.explode(chars.characters(F.col("text"))).alias("c"))
@@ -232,6 +257,13 @@ def model_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _longs(modelfile.long_form(back))
 
 
+def bundle_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The model after writing the file that holds all languages and reading it."""
+    path = new_path(spark, "bundle")
+    modelfile.write_files(trained_model(spark, sf_dir), path)
+    return _longs(modelfile.long_form(modelfile.read_file(spark, modelfile.find_file(spark, path))))
+
+
 NAMES = {
     K.CHAR_UNIGRAM: ("char_unigrams", "model_unigram"), K.CHAR_BIGRAM: ("char_bigrams", "model_bigram"), K.CHAR_TRIGRAM: ("char_trigrams", "model_trigram"),
     K.TOKEN_UNIGRAM: ("token_unigrams", "model_token"), K.TOKEN_BIGRAM: ("token_bigrams", "model_token_bigram"), K.WORD_LENGTH: ("word_lengths", "model_wordlen"), K.SENTENCE_LENGTH: ("sentence_lengths", "model_sentlen"),
@@ -242,7 +274,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         corpus_stats, token_df, section_totals, merge_counts, model_header, lookup_oov, doc_terms, doc_terms_arrow, score_all, classify, classify_columns, classify_top, classify_conversations, train_eval_split, doc_cap,
-        eval_accuracy, benchmark_report, benchmark_misses, text_scan_filter, lang_registry, json_cases, char_classes, model_roundtrip,
+        eval_accuracy, benchmark_report, benchmark_misses, source_misses, text_scan_filter, line_files, lang_registry, json_cases, json_file_cases, char_classes, model_roundtrip, bundle_roundtrip,
     )
 }
 QUERIES["token_idf"] = idf_table
