@@ -231,7 +231,7 @@ def _components(work: Workspace, marked: DataFrame, near: DataFrame, shingle: in
     sets = work.keep(marked.where("size(bands) > 0").groupBy("grams").agg(F.min("fp").alias("fp"), F.first("bands").alias("bands")), "sets")
     prints = sets.select("grams", "fp")
     same = marked.where("size(bands) > 0").select("grams", F.col("fp").alias("other")).distinct().join(prints, "grams").where("fp <> other").selectExpr("fp AS a", "other AS b")
-    edges = work.keep(near.union(same), "edges")
+    edges = near.union(same)
     rows = work.keep(sets.select("grams", F.explode("bands").alias("bucket")), "bands")
     shared = rows.groupBy("bucket").agg(F.min("grams").alias("low"), F.max("grams").alias("high")).where("low <> high").select("bucket")
     left = work.keep(rows.join(shared, "bucket").select("bucket", "grams", F.lit(None).cast("long").alias("c")), "left0")
@@ -239,15 +239,15 @@ def _components(work: Workspace, marked: DataFrame, near: DataFrame, shingle: in
     a, b = prints.selectExpr("grams AS a", "fp AS fa"), prints.selectExpr("grams AS b", "fp AS fb")
     components, turn = None, 0
     while True:
-        part = F.pmod(F.xxhash64("grams"), F.lit(min(MOST_PIVOTS, 4**turn)))
+        part = F.pmod(F.xxhash64("grams"), F.lit(min(MOST_PIVOTS, 16**turn)))
         pivots = left.groupBy("bucket", part.alias("part")).agg(F.min("grams").alias("pivot")).drop("part")
         pivots = work.keep(pivots.join(left.withColumnRenamed("grams", "pivot").withColumnRenamed("c", "pc"), ["bucket", "pivot"]) if turn else pivots.withColumn("pc", F.lit(None).cast("long")), f"pivots{turn}")
         pairs = left.join(pivots, "bucket").where("grams <> pivot AND (c IS NULL OR c <> pc)").selectExpr("least(pivot, grams) AS a", "greatest(pivot, grams) AS b")
         found = _verified(work, work.keep(pairs.distinct(), f"pairs{turn}"), marked, shingle, similarity, f"turn{turn}")
-        edges.unionAll(found.join(a, "a").join(b, "b").where("fa <> fb").selectExpr("fa AS a", "fb AS b")).write.mode("overwrite").parquet(work.path(f"edges{turn}"))
-        edges = work.spark.read.schema("a long, b long").parquet(work.path(f"edges{turn}"))
         if components is None or not found.isEmpty():
-            components = work.keep(connected_components(work, edges), f"components{turn}")
+            more = found.join(a, "a").join(b, "b").where("fa <> fb").selectExpr("fa AS a", "fb AS b")
+            known = edges if components is None else components.selectExpr("node AS a", "component AS b")  # stars: what is linked already takes few rounds
+            components = work.keep(connected_components(work, known.unionAll(more)), f"components{turn}")
         named = prints.join(components, prints["fp"] == components["node"], "left").select("grams", F.coalesce("component", "fp").alias("c"))
         rest = left.drop("c").join(pivots.selectExpr("bucket", "pivot AS grams"), ["bucket", "grams"], "left_anti")
         placed = work.keep(rest.join(named, "grams").select("bucket", "grams", "c"), f"placed{turn}")
