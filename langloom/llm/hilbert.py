@@ -81,6 +81,7 @@ def assign(rows: DataFrame, axes: list[Column], same: str, order: list[str], sha
     rows = rows.withColumn("__cell", cell)
     rows = rows.join(F.broadcast(cells(spark, len(axes), bits).withColumnRenamed("cell", "__cell")), "__cell").drop("__cell")  # 2**(bits * axes) rows
     copies = rows.groupBy(same).agg(F.count("*").alias("__n"), F.min("curve").alias("__low")).where("__n > 1").withColumnRenamed(same, "__same")
+    copies = work.keep(copies, "copies")  # a plain table: Spark can then split the join's hot group
     rows = rows.join(copies, F.col(same) == F.col("__same"), "left").withColumn("curve", F.coalesce("__low", "curve")).withColumn("__less", -F.coalesce("__n", F.lit(1)))
     keys = [F.col(c) for c in ("curve", "__less", *order)]
     rows = rows.drop("__same", "__low", "__n").repartitionByRange(*keys).sortWithinPartitions(*keys)
