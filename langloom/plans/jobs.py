@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from langloom import constants as K
 from langloom.operators.evaluate import benchmark_misses, benchmark_report, held_out_report
 from langloom.operators.model import Model, train
-from langloom.operators.split import strided_split
+from langloom.operators.split import split_keys, with_split
 from langloom.sources.cases import read_cases
 from langloom.sources.modelfile import find_file, read_file, write_files
 from langloom.workspace import written
@@ -20,7 +20,8 @@ def train_corpus(
     corpus: DataFrame, order: list[str], languages: list[str] | None = None, max_docs: int = K.MAX_DOCS, eval_docs: int = K.EVAL_DOCS, out_dir: str | None = None, bundle: bool = True
 ) -> tuple[Model, DataFrame]:
     """(model, held-out report) of (lang, text and what orders the scan): split, count, build, write, evaluate."""
-    parts = strided_split(corpus.where("text IS NOT NULL AND text <> ''"), order, max_docs, eval_docs)
+    known = corpus.where("text IS NOT NULL AND text <> ''")
+    parts = with_split(known, written(split_keys(known, order, max_docs, eval_docs), "split_keys"), order, eval_docs)
     if "doc_id" not in corpus.columns:
         parts = parts.withColumn("doc_id", F.monotonically_increasing_id())
     parts = written(parts, "split")
