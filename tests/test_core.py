@@ -1,5 +1,8 @@
 """The hand-derived trace, hash vectors and classes."""
 
+import contextlib
+import io
+import re
 from collections import Counter
 
 import pytest
@@ -12,7 +15,7 @@ from langloom.operators import arrow_counts, arrow_scoring
 from langloom.operators import features as X
 from langloom.operators.counts import Counts, counts_by_columns, train_counts
 from langloom.operators.model import build_model, token_idf
-from langloom.operators.scoring import classify, rank, terms
+from langloom.operators.scoring import by_text, classify, rank, terms
 
 
 def fnv(data: bytes) -> int:
@@ -162,6 +165,45 @@ def test_scores_against_plain_loops(spark):
             assert r.rank == place and (r.score == s or abs(r.score - s) < 2e-5) and abs(r.confidence - conf) < 2e-4
 
 
+def test_columns_are_compiled(spark):
+    """Tokens are cut once in a plan. A generated method beyond ``tune``'s limit is never compiled: Spark then interprets its stage."""
+    rows = [(i, "abcd"[i % 4], f"Text {i}, of words. Größe {i}") for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    model = build_model(train_counts(docs)).written()
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = io.StringIO()
+        with contextlib.redirect_stdout(out):
+            made = by_text(docs, model)
+            made.explain("codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", out.getvalue())]
+    assert len(sizes) > 20 and max(sizes) <= 8000
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") == 1
+
+
+def test_classes_and_tokens_of_every_code_point(spark):
+    blocks = spark.range(0x110000 >> 8).where("id NOT BETWEEN 216 AND 223").select("id", F.transform(F.sequence(F.col("id") * 256, F.col("id") * 256 + 255), lambda c: F.decode(F.unhex(F.lpad(F.hex(c), 8, "0")), "UTF-32")).alias("c"))
+    plain = f"[{chars.SYLLABIC}]|[{chars.ALNUM}&&[^{chars.SYLLABIC}]]+"
+    text = F.array_join("c", "")
+    same = [F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in (plain, chars.TOKEN)]
+    assert blocks.where(same[0] != same[1]).isEmpty()
+    each = blocks.select("id", F.posexplode("c").alias("i", "c")).where("id < 832 OR id >= 3584 OR i < 4")
+    assert each.where(F.get(X.class_table(spark), (F.col("id") * 256 + F.col("i")).cast("int")) != chars.class_of(F.col("c"))).isEmpty()
+
+
+def test_terms_of_long_texts_and_pieces(spark):
+    """Texts about the bounds of pieces and of SCORE_CHARS, sentences without tokens, long tokens and characters of every size."""
+    texts = [c * n for n in (1, 2, 63, 64, 65, 66, 127, 128, 129) for c in ("a", "é", "中", "\U0001d49c")]
+    texts += ["ab. " * 9000, "..", " . a", "Ünïted" * 30 + "! Ab", "x" * 33000 + ". y", "ΑΣ ΑΣ. İİ İx", "a\n\nb  c ", " "]
+    docs = spark.createDataFrame([(i, "pq"[i % 2], x) for i, x in enumerate(texts)], "doc_id long, lang string, text string")
+    model = build_model(train_counts(docs)).written()
+    a, b = terms(docs, model), arrow_scoring.terms(docs, model)
+    assert a.exceptAll(b.select(a.columns)).isEmpty() and b.select(a.columns).exceptAll(a).isEmpty()
+
+
 def test_ranks_of_ties_and_caps(spark):
     rows = [(1, 0, "a", -1.0), (1, 1, "b", -1.0), (1, 2, "c", -0.5), (2, 1, "b", float("-inf")), (2, 0, "a", float("-inf"))]
     got = {(r.doc_id, r.lang): (r["rank"], round(r.confidence, 4)) for r in rank(spark.createDataFrame(rows, "doc_id long, lang_index int, lang string, score float")).collect()}
